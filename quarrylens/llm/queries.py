@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quarrylens.llm.broken_files import broken_rates, check_syntax
 from quarrylens.llm.credentials import scan_chunks
+from quarrylens.llm.files import file_contents
 from quarrylens.session import load
 
 
@@ -20,6 +22,18 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
         F.col("redacted").alias("content"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted}
+def _contents(spark: SparkSession, d: str) -> DataFrame:
+    return file_contents(load(spark, d, "files"), load(spark, d, "file_texts"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return check_syntax(_contents(spark, d)).filter(F.col("error").isNotNull()).select("file_id").distinct()
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    return broken_rates(check_syntax(_contents(spark, d)))
+
+
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_rates": p2_rates}
 
 ORACLE: dict[str, str] = {}
