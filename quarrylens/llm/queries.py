@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quarrylens.llm.broken_files import broken_rates, check_syntax
 from quarrylens.llm.credentials import scan_chunks
 from quarrylens.llm.files import file_contents
+from quarrylens.llm.handmade import classify_files
 from quarrylens.session import load
 
 
@@ -34,6 +35,19 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
     return broken_rates(check_syntax(_contents(spark, d)))
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_rates": p2_rates}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return classify_files(_contents(spark, d)).filter(F.col("kind").isNotNull()).select("file_id")
+
+
+def p5_kinds(spark: SparkSession, d: str) -> DataFrame:
+    kinds = classify_files(_contents(spark, d))
+    return kinds.groupBy(F.coalesce("kind", F.lit("hand-written")).alias("kind")).agg(F.count("*").alias("n_files"))
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_redacted": p1_redacted,
+    "p2_found": p2_found, "p2_rates": p2_rates,
+    "p5_found": p5_found, "p5_kinds": p5_kinds,
+}
 
 ORACLE: dict[str, str] = {}
