@@ -8,6 +8,8 @@ from quarrylens.llm.broken_files import broken_rates, check_syntax
 from quarrylens.llm.credentials import scan_chunks
 from quarrylens.llm.files import file_contents
 from quarrylens.llm.handmade import classify_files
+from quarrylens.llm.languages import document_languages, identify, label_cases
+from quarrylens.llm.splitting import split_chunks
 from quarrylens.session import load
 
 
@@ -44,10 +46,47 @@ def p5_kinds(spark: SparkSession, d: str) -> DataFrame:
     return kinds.groupBy(F.coalesce("kind", F.lit("hand-written")).alias("kind")).agg(F.count("*").alias("n_files"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return split_chunks(load(spark, d, "code_chunks"), with_text=False).select("chunk_id").distinct()
+
+
+def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split_chunks(load(spark, d, "code_chunks"))
+
+
+def _identified(spark: SparkSession, d: str) -> DataFrame:
+    return identify(load(spark, d, "documents"), load(spark, d, "language_names"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return label_cases(_identified(spark, d))
+
+
+def p10_languages(spark: SparkSession, d: str) -> DataFrame:
+    return document_languages(_identified(spark, d))
+
+
+def p10_passages(spark: SparkSession, d: str) -> DataFrame:
+    """The passages of documents that mix languages."""
+    mixed = F.size(F.array_distinct(F.transform("passages", lambda p: p["lang"]))) > 1
+    return _identified(spark, d).filter(mixed).select("doc_id", F.posexplode("passages").alias("passage_no", "p")).select(
+        "doc_id", "passage_no", "p.start_char", "p.end_char", "p.lang", F.round("p.confidence", 6).alias("confidence"))
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_redacted": p1_redacted,
     "p2_found": p2_found, "p2_rates": p2_rates,
     "p5_found": p5_found, "p5_kinds": p5_kinds,
+    "p6_found": p6_found, "p6_pieces": p6_pieces,
+    "p10_found": p10_found, "p10_languages": p10_languages, "p10_passages": p10_passages,
 }
 
-ORACLE: dict[str, str] = {}
+_CHUNK_ID = "lower(trim(id, e' \\t\\r\\n'))"
+
+ORACLE: dict[str, str] = {
+    "p6_found": f"""
+WITH c AS (SELECT {_CHUNK_ID} AS chunk_id, arg_max(coalesce(content, ''), ingested_at) AS content FROM code_chunks GROUP BY 1)
+SELECT chunk_id FROM c
+WHERE length(content) > 12000
+   OR length(content) - length(replace(content, chr(10), '')) + CASE WHEN content LIKE '%' || chr(10) THEN 0 ELSE 1 END > 180""",
+}
