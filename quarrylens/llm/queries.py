@@ -10,6 +10,7 @@ from quarrylens.llm.files import file_contents
 from quarrylens.llm.handmade import classify_files
 from quarrylens.llm.languages import document_languages, identify, label_cases
 from quarrylens.llm.splitting import split_chunks
+from quarrylens.llm.vectors import similar_pairs
 from quarrylens.session import load
 
 
@@ -54,6 +55,16 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_chunks(load(spark, d, "code_chunks"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    near = similar_pairs(load(spark, d, "code_chunks"))
+    return near.select(F.least("id", "other").alias("chunk_id_a"), F.greatest("id", "other").alias("chunk_id_b")).distinct()
+
+
+def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return similar_pairs(load(spark, d, "code_chunks")).select(
+        F.col("id").alias("chunk_id"), F.col("other").alias("neighbour_id"), "similarity")
+
+
 def _identified(spark: SparkSession, d: str) -> DataFrame:
     return identify(load(spark, d, "documents"), load(spark, d, "language_names"))
 
@@ -78,6 +89,7 @@ QUERIES = {
     "p2_found": p2_found, "p2_rates": p2_rates,
     "p5_found": p5_found, "p5_kinds": p5_kinds,
     "p6_found": p6_found, "p6_pieces": p6_pieces,
+    "p7_found": p7_found, "p7_neighbours": p7_neighbours,
     "p10_found": p10_found, "p10_languages": p10_languages, "p10_passages": p10_passages,
 }
 
