@@ -9,6 +9,8 @@ from quarrylens.llm.credentials import scan_chunks
 from quarrylens.llm.files import file_contents
 from quarrylens.llm.handmade import classify_files
 from quarrylens.llm.languages import document_languages, identify, label_cases
+from quarrylens.llm.mixing import mix, share_report
+from quarrylens.llm.packing import fill_report, pack
 from quarrylens.llm.splitting import split_chunks
 from quarrylens.llm.vectors import similar_pairs
 from quarrylens.session import load
@@ -65,6 +67,23 @@ def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
         F.col("id").alias("chunk_id"), F.col("other").alias("neighbour_id"), "similarity")
 
 
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return pack(load(spark, d, "documents"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return fill_report(pack(load(spark, d, "documents")))
+
+
+def p9_mixed(spark: SparkSession, d: str) -> DataFrame:
+    return mix(load(spark, d, "documents"), load(spark, d, "source_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    targets = load(spark, d, "source_targets")
+    return share_report(mix(load(spark, d, "documents"), targets), targets)
+
+
 def _identified(spark: SparkSession, d: str) -> DataFrame:
     return identify(load(spark, d, "documents"), load(spark, d, "language_names"))
 
@@ -90,6 +109,8 @@ QUERIES = {
     "p5_found": p5_found, "p5_kinds": p5_kinds,
     "p6_found": p6_found, "p6_pieces": p6_pieces,
     "p7_found": p7_found, "p7_neighbours": p7_neighbours,
+    "p8_packed": p8_packed, "p8_fill": p8_fill,
+    "p9_mixed": p9_mixed, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_languages": p10_languages, "p10_passages": p10_passages,
 }
 
