@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylens.plans import integrity
+from quarrylens.plans import integrity, metadata, quality
 
-MODULES = [integrity]
+MODULES = [integrity, metadata, quality]
 
 
 def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
