@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylens.plans import integrity, metadata, quality
+from quarrylens.plans import graph, integrity, metadata, quality
 
-MODULES = [integrity, metadata, quality]
+MODULES = [integrity, metadata, quality, graph]
 
 
 def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
