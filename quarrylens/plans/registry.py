@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylens.plans import graph, integrity, metadata, policy, quality, retrieval
+from quarrylens.plans import extraction, graph, integrity, metadata, policy, quality, retrieval
 
-MODULES = [integrity, metadata, quality, graph, retrieval, policy]
+MODULES = [integrity, metadata, quality, graph, retrieval, policy, extraction]
 
 
 def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
