@@ -142,19 +142,25 @@ def _ranked_pairs(states: DataFrame, edges: DataFrame, fetched_order: bool) -> D
     """Pairs of states and edges in processing order, cut by each query's remaining budget.
 
     First each query's adjacent edges are cut to the budget in fetch order, then the
-    pairs. Columns added: n (from 1), more (the fetch overflowed), over (the pairs did).
+    pairs. Columns added: use (inside the budget), n (from 1), more (the fetch overflowed),
+    over (the pairs did). A query whose pairs are all beyond the budget keeps one unused row for its flags.
     """
     here = states.select("query_id", "repository_id", "at", "left").distinct()
     w = W.partitionBy("query_id").orderBy("fetch_order")
     adjacent = here.join(edges, ["repository_id", "at"]).withColumn("f", F.row_number().over(w)).filter(F.col("f") <= F.col("left") + 1)
-    adjacent = adjacent.withColumn("more", F.max(F.col("f") > F.col("left")).over(W.partitionBy("query_id"))).filter(F.col("f") <= F.col("left"))
+    adjacent = adjacent.withColumn("fetched", F.col("f") <= F.col("left"))
     last = F.element_at("path", -1)
     head = F.struct(last["p"], last["l"], last["n"], last["i"])
     length_first = [F.size("path")] if fetched_order else []
     edge_order = ["fetch_order"] if fetched_order else ["near_key", "edge_type", "edge_id"]
-    order = W.partitionBy("query_id").orderBy(head, *length_first, "path", *edge_order)
+    order = W.partitionBy("query_id").orderBy(F.desc("fetched"), head, *length_first, "path", *edge_order)
+    whole = W.partitionBy("query_id")
     pairs = states.join(adjacent.drop("left"), ["query_id", "repository_id", "at"]).withColumn("n", F.row_number().over(order))
-    return pairs.withColumn("over", F.max(F.col("n") > F.col("left")).over(W.partitionBy("query_id"))).filter(F.col("n") <= F.col("left"))
+    return (
+        pairs.withColumn("more", F.max(~F.col("fetched")).over(whole))
+        .withColumn("over", F.max(F.col("fetched") & (F.col("n") > F.col("left"))).over(whole))
+        .withColumn("use", F.col("fetched") & (F.col("n") <= F.col("left"))).filter("use OR n = 1")
+    )
 
 
 def shortest_paths(graph: Graph, queries: DataFrame, depth: int = MAX_DEPTH, types: list[str] | None = None, max_edges: int = MAX_EDGES,
@@ -179,13 +185,13 @@ def shortest_paths(graph: Graph, queries: DataFrame, depth: int = MAX_DEPTH, typ
     states = states.filter("at <> to_id")
     for level in range(1, depth + 1):
         pairs = cut_lineage(_ranked_pairs(states, edges, False).select(
-            "query_id", "repository_id", "to_id", "near", "left", "n", (F.col("more") | F.col("over")).alias("truncated"),
+            "query_id", "repository_id", "to_id", "near", "left", "n", "use", (F.col("more") | F.col("over")).alias("truncated"),
             F.exists("path", lambda s: s["i"] == F.col("near")).alias("visited"),
             F.concat("path", F.array(_step(F.col("near_key"), F.col("edge_type"), F.col("edge_id")))).alias("path")))
         if pairs.isEmpty():
             break
-        hits = pairs.filter("NOT visited AND near = to_id").withColumn("h", F.row_number().over(W.partitionBy("query_id").orderBy("n")))
-        per_query = pairs.groupBy("query_id").agg(F.max("truncated").alias("truncated"), F.count("*").alias("used"))
+        hits = pairs.filter("use AND NOT visited AND near = to_id").withColumn("h", F.row_number().over(W.partitionBy("query_id").orderBy("n")))
+        per_query = pairs.groupBy("query_id").agg(F.max("truncated").alias("truncated"), F.count_if("use").alias("used"))
         won = hits.groupBy("query_id").agg(
             F.array_sort(F.collect_list(F.when(F.col("h") <= max_paths, F.col("path")))).alias("paths"), (F.max("h") > max_paths).alias("more_paths"))
         ended = cut_lineage(per_query.join(won, "query_id", "left"))
@@ -193,7 +199,7 @@ def shortest_paths(graph: Graph, queries: DataFrame, depth: int = MAX_DEPTH, typ
             "query_id", F.coalesce("paths", F.array().cast(f"array<array<{_STEP}>>")).alias("paths"), "truncated",
             F.coalesce("more_paths", F.lit(False)).alias("more_paths")))
         going = ended.filter("paths IS NULL AND NOT truncated").select("query_id", "used")
-        states = cut_lineage(pairs.filter("NOT visited AND near <> to_id").join(going, "query_id").select(
+        states = cut_lineage(pairs.filter("use AND NOT visited AND near <> to_id").join(going, "query_id").select(
             "query_id", "repository_id", "to_id", F.col("near").alias("at"), "path", (F.col("left") - F.col("used")).cast("int").alias("left")))
     results = reduce(DataFrame.unionByName, outcomes)
     return every.select("query_id").join(results, "query_id", "left").select(
@@ -228,10 +234,10 @@ def impact(graph: Graph, queries: DataFrame, depth: int = 1, max_edges: int = MA
         for level in range(1, (depth if category == "caller" else 1) + 1):
             live = budget.filter("NOT stopped").select("query_id", F.col("left").cast("int").alias("left"), "n_results")
             pairs = cut_lineage(_ranked_pairs(states.join(live, "query_id"), edges, True).select(
-                "query_id", "repository_id", "near", "left", "n_results", "n", "more", "over",
+                "query_id", "repository_id", "near", "left", "n_results", "n", "use", "more", "over",
                 F.exists("path", lambda s: s["i"] == F.col("near")).alias("visited"),
                 F.concat("path", F.array(_step(F.col("near_key"), F.col("edge_type"), F.col("edge_id")))).alias("path")))
-            fresh = pairs.filter("NOT visited")
+            fresh = pairs.filter("use AND NOT visited")
             if seen is not None:
                 fresh = fresh.join(seen, ["query_id", "near"], "left")
             else:
@@ -247,7 +253,7 @@ def impact(graph: Graph, queries: DataFrame, depth: int = 1, max_edges: int = MA
             processed = fresh.filter("stop_at IS NULL OR n < stop_at")
             kept = cut_lineage(processed.filter(F.col("k") <= max_paths).select("query_id", "repository_id", "near", "path", "n"))
             evidence.append(kept.select("query_id", F.lit(category).alias("category"), F.col("near").alias("symbol_id"), F.lit(level).alias("depth"), "path"))
-            a = pairs.groupBy("query_id").agg(F.count("*").alias("used"), F.max("more").alias("more"), F.max("over").alias("over"))
+            a = pairs.groupBy("query_id").agg(F.count_if("use").alias("used"), F.max("more").alias("more"), F.max("over").alias("over"))
             b = fresh.groupBy("query_id").agg(
                 F.min("stop_at").alias("stop_at"),
                 F.sum((F.col("first") & (F.col("stop_at").isNull() | (F.col("n") < F.col("stop_at")))).cast("long")).alias("new"),
