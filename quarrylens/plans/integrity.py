@@ -44,6 +44,13 @@ def p4_tree(spark: SparkSession, d: str) -> DataFrame:
         F.array_join("path", "/").alias("path"), "n_descendants", "tree_id", "lft", "rgt")
 
 
+def p4_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Path from the root and number of descendants of every symbol that leads to no cycle."""
+    tree = build_hierarchy(symbol_nodes(spark, d))
+    return tree.filter("depth >= 0").select(
+        F.col("id").alias("symbol_id"), F.array_join("path", "/").alias("path"), "n_descendants")
+
+
 def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
     return descendants(build_hierarchy(symbol_nodes(spark, d)))
 
@@ -57,7 +64,7 @@ def p4_cycles(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p3_found": p3_found, "p3_report": p3_report,
-    "p4_found": p4_found, "p4_tree": p4_tree, "p4_descendants": p4_descendants, "p4_cycles": p4_cycles,
+    "p4_found": p4_found, "p4_tree": p4_tree, "p4_paths": p4_paths, "p4_descendants": p4_descendants, "p4_cycles": p4_cycles,
 }
 
 _CID = "lower(trim({0}, e' \\t\\r\\n'))"
@@ -112,6 +119,11 @@ FROM o WHERE reason IS NOT NULL GROUP BY ALL""",
     "p4_found": _TREE + """SELECT t.id AS symbol_id, root_id AS root_symbol_id,
 CAST(CASE WHEN looped THEN -1 ELSE len(path) - 1 END AS INTEGER) AS depth
 FROM t JOIN s USING (id) WHERE s.parent_symbol_id IS NOT NULL""",
+    "p4_paths": _TREE + """, n AS (SELECT u.a, count(*) AS n FROM t, UNNEST(path[2:]) AS u(a) WHERE NOT looped GROUP BY 1)
+SELECT t.id AS symbol_id, array_to_string(list_reverse(path), '/') AS path, coalesce(n.n, 0) AS n_descendants
+FROM t LEFT JOIN n ON n.a = t.id WHERE NOT looped""",
+    "p4_cycles": _TREE + """SELECT root_id AS cycle_id, count(*) FILTER (WHERE list_position(path, path[-1]) = 1) AS n_on_cycle, count(*) AS n_symbols
+FROM t WHERE looped GROUP BY 1""",
     "p4_descendants": _TREE + """SELECT u.a AS ancestor_id, t.id AS descendant_id, CAST(list_position(path, u.a) - 1 AS INTEGER) AS distance
 FROM t, UNNEST(path[2:]) AS u(a) WHERE NOT looped""",
 }

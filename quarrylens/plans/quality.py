@@ -93,6 +93,18 @@ def sample_per_kind(m: CodeModel) -> DataFrame:
     return kinds.withColumn("rank", F.row_number().over(w)).filter("rank = 1").select("kind", "id", "n_chars", "start_line")
 
 
+def unusable_vectors(m: CodeModel) -> DataFrame:
+    """Why delivered vectors cannot be used: rows, chunks, and the ten smallest chunk ids per reason."""
+    v = F.col("embedding")
+    reason = (F.when(v.isNull(), "missing").when(F.size(v) != 384, "wrong length")
+              .when(F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), "not finite").when(~F.exists(v, lambda x: x != 0), "all zero"))
+    rows = m.raw("code_chunks").select(canonical_id("id").alias("id"), reason.alias("reason")).filter("reason IS NOT NULL")
+    once = rows.groupBy("reason", "id").agg(F.count("*").alias("n"))
+    first = once.withColumn("k", F.row_number().over(W.partitionBy("reason").orderBy("id"))).filter("k <= 10").groupBy("reason").agg(
+        F.array_join(F.array_sort(F.collect_list("id")), ",").alias("first_ids"))
+    return once.groupBy("reason").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_chunks")).join(first, "reason")
+
+
 def column_nulls(m: CodeModel) -> DataFrame:
     """Nulls per column of the delivered repositories, files and symbols."""
     parts = []
@@ -122,7 +134,7 @@ def _q(f):
 
 QUERIES = {f.__name__: _q(f) for f in (
     embedding_coverage, embedding_dimensions, duplicate_edges, cross_repository_edges, edge_totals, symbol_totals, repository_edges,
-    chunk_reference_violations, chunk_sanity, sample_per_kind, column_nulls, search_log_quality)}
+    chunk_reference_violations, chunk_sanity, sample_per_kind, unusable_vectors, column_nulls, search_log_quality)}
 
 _KINDS = ", ".join(f"('{t}')" for t in RELATIONSHIP_TYPES)
 _SYMBOL_KINDS = ", ".join(f"('{t}')" for t in SYMBOL_TYPES)
@@ -161,6 +173,10 @@ count(*) FILTER (WHERE coalesce(length(trim(content, ' ')), 0) = 0) AS empty_con
     ELSE coalesce(type, 'UNKNOWN') END AS kind FROM cc LEFT JOIN cs ON cs.id = cc.symbol_id)
 SELECT kind, id, CAST(n_chars AS INTEGER) AS n_chars, start_line FROM k
 QUALIFY row_number() OVER (PARTITION BY kind ORDER BY n_chars DESC NULLS LAST, start_line NULLS FIRST, id) = 1""",
+    "unusable_vectors": """WITH r AS (SELECT lower(trim(id, e' \\t\\r\\n')) AS id, CASE WHEN embedding IS NULL THEN 'missing' WHEN len(embedding) <> 384 THEN 'wrong length'
+    WHEN list_bool_or([x IS NULL OR NOT isfinite(x) FOR x IN embedding]) THEN 'not finite' WHEN NOT list_bool_or([x <> 0 FOR x IN embedding]) THEN 'all zero' END AS reason FROM code_chunks),
+o AS (SELECT reason, id, count(*) AS n, row_number() OVER (PARTITION BY reason ORDER BY id) AS k FROM r WHERE reason IS NOT NULL GROUP BY 1, 2)
+SELECT reason, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_chunks, string_agg(id, ',' ORDER BY id) FILTER (WHERE k <= 10) AS first_ids FROM o GROUP BY 1""",
     "column_nulls": " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS n_null FROM {t}"
         for t, cs in _NULL_COLUMNS.items() for c in cs.split()),
