@@ -1,12 +1,13 @@
 """Full hierarchies from parent-child links of unknown depth.
 
-1. Upward: leaves are peeled off level by level and hand their subtree size to
-   the parent (partial aggregation, so a parent with a third of all rows as
-   children costs one row per map task). A round touches only nodes that still
-   wait for a child. Once fewer than `RESIDUAL_ROWS` nodes wait, one task ends
-   the peeling; that bound is a constant and no row is dropped by it.
-2. Nodes never peeled are exactly those on a cycle. Each learns the smallest id
-   of its cycle by pointer doubling.
+1. Upward: with S_k(v) the number of nodes less than 2^k steps below v, every node
+   hands S_k to its ancestor 2^k steps up, and S_(k+1) is what a node had plus what it
+   got. Ancestors 2^k steps up double as well, so the sizes of all subtrees take
+   log2(depth) rounds. A round moves only nodes that still have such an ancestor, and
+   a parent with a third of all rows as children gets one row per map task.
+2. Nodes that never run out of ancestors are on a cycle or lead into one. After as
+   many steps as there are such nodes, their pointers name exactly the cycles' nodes.
+   Each of these learns the smallest id of its cycle by pointer doubling.
 3. Downward: sibling ranges are prefix sums of subtree sizes, taken per parent
    in hash buckets first and over the buckets second, so that no window holds
    all children of a hot parent. The offsets are then summed along the ancestors
@@ -20,82 +21,46 @@ v.lft < u.lft <= v.rgt.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from quarrylens.session import cut_lineage
 
-#: Waiting nodes that one task may finish (about 10 MB).
-RESIDUAL_ROWS = 50_000
 #: Hash buckets into which the children of one parent are split for prefix sums.
 SIBLING_BUCKETS = 256
 
 
-def _finish_peeling(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    parts = [b for b in batches if len(b)]
-    if not parts:
-        return
-    rows = pd.concat(parts, ignore_index=True)
-    ids, parents = rows["id"].tolist(), rows["parent"].tolist()
-    waiting = dict(zip(ids, rows["n_children"].tolist()))
-    size = dict(zip(ids, rows["size"].tolist()))
-    parent_of = dict(zip(ids, parents))
-    ready = [i for i in ids if waiting[i] == 0]
-    done = set()
-    while ready:
-        node = ready.pop()
-        done.add(node)
-        up = parent_of[node]
-        if up is None or up not in size:
-            continue
-        size[up] += size[node]
-        waiting[up] -= 1
-        if waiting[up] == 0:
-            ready.append(up)
-    rows["size"] = [size[i] for i in ids]
-    rows["on_cycle"] = [i not in done for i in ids]
-    yield rows[["id", "parent", "size", "on_cycle"]]
-
-
-def _subtree_sizes(linked: DataFrame, residual_rows: int) -> DataFrame:
+def _subtree_sizes(linked: DataFrame) -> DataFrame:
     """id, parent, size (of the subtree without links along a cycle), on_cycle."""
-    n_children = (
-        linked.filter(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("id"))
-        .agg(F.count("*").alias("n_children"))
-    )
-    state = cut_lineage(
-        linked.join(n_children, "id", "left")
-        .select("id", "parent", F.coalesce("n_children", F.lit(0)).cast("long").alias("n_children"),
-                F.lit(1).cast("long").alias("size"))
-    )
-    done: list[DataFrame] = []
-    left = state.count()
-    while True:
-        if left <= residual_rows:
-            rest = state.repartition(1).mapInPandas(
-                _finish_peeling, "id string, parent string, size long, on_cycle boolean")
-            done.append(cut_lineage(rest))
-            break
-        leaves = state.filter("n_children = 0")
-        done.append(leaves.select("id", "parent", "size", F.lit(False).alias("on_cycle")))
-        gains = (
-            leaves.filter(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("id"))
-            .agg(F.sum("size").alias("gain"), F.count("*").alias("gone"))
-        )
-        state = cut_lineage(
-            state.filter("n_children > 0").join(gains, "id", "left")
-            .select("id", "parent", (F.col("n_children") - F.coalesce("gone", F.lit(0))).alias("n_children"),
-                    (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size"))
-        )
-        now = state.count()
-        if state.filter("n_children = 0").isEmpty():
-            done.append(state.select("id", "parent", "size", F.lit(True).alias("on_cycle")))
+    active = cut_lineage(linked.filter(F.col("parent").isNotNull()).select(
+        "id", F.col("parent").alias("ptr"), F.lit(1).cast("long").alias("size")))
+    gains: list[DataFrame] = []
+    count, steps = active.count(), 1
+    while count:
+        got = cut_lineage(active.groupBy(F.col("ptr").alias("id")).agg(F.sum("size").alias("gain")))
+        gains.append(got)
+        ahead = active.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"))
+        active = cut_lineage(
+            active.join(ahead, "ptr").join(got, "id", "left")
+            .select("id", F.col("ptr2").alias("ptr"), (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size")))
+        left, steps = active.count(), steps * 2
+        if left == count and steps >= count:
             break
-        left = now
-    return reduce(DataFrame.unionByName, done)
+        count = left
+    sizes = linked.withColumn("size", F.lit(1).cast("long"))
+    if gains:
+        total = reduce(DataFrame.unionByName, gains).groupBy("id").agg(F.sum("gain").alias("gain"))
+        sizes = linked.join(total, "id", "left").select("id", "parent", (F.coalesce("gain", F.lit(0)) + 1).alias("size"))
+    if not count:
+        return sizes.withColumn("on_cycle", F.lit(False))
+    looped = cut_lineage(active.select(F.col("ptr").alias("id")).distinct().withColumn("on_cycle", F.lit(True)))
+    marked = cut_lineage(sizes.join(looped, "id", "left").withColumn("on_cycle", F.coalesce("on_cycle", F.lit(False))))
+    # a node on a cycle heads the trees that lead into it
+    behind = marked.filter("NOT on_cycle").join(looped.select(F.col("id").alias("parent")), "parent").groupBy(
+        F.col("parent").alias("id")).agg(F.sum("size").alias("behind"))
+    return marked.join(behind, "id", "left").select(
+        "id", "parent", F.when(F.col("on_cycle"), F.coalesce("behind", F.lit(0)) + 1).otherwise(F.col("size")).alias("size"), "on_cycle")
 
 
 def _cycle_labels(on_cycle: DataFrame) -> DataFrame:
@@ -131,7 +96,7 @@ def _sibling_offsets(sized: DataFrame) -> DataFrame:
 
 
 def build_hierarchy(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id",
-                    residual_rows: int = RESIDUAL_ROWS, with_path: bool = True) -> DataFrame:
+                    with_path: bool = True) -> DataFrame:
     """Root, depth, path and preorder range of every node.
 
     nodes: one row per node (repeated ids are merged, the greatest parent wins).
@@ -151,7 +116,7 @@ def build_hierarchy(nodes: DataFrame, id_col: str = "id", parent_col: str = "par
     known = base.select(F.col("id").alias("parent"), F.lit(True).alias("known"))
     linked = base.join(known, "parent", "left").select(
         "id", F.when(F.col("known"), F.col("parent")).alias("parent"))
-    sizes = cut_lineage(_subtree_sizes(cut_lineage(linked), residual_rows))
+    sizes = cut_lineage(_subtree_sizes(cut_lineage(linked)))
     cycles = _cycle_labels(sizes.filter("on_cycle"))
 
     heads = (
