@@ -25,7 +25,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from quarrylens.session import cut_lineage
+from quarrylens.session import written
 
 #: Hash buckets into which the children of one parent are split for prefix sums.
 SIBLING_BUCKETS = 256
@@ -33,15 +33,15 @@ SIBLING_BUCKETS = 256
 
 def _subtree_sizes(linked: DataFrame) -> DataFrame:
     """id, parent, size (of the subtree without links along a cycle), on_cycle."""
-    active = cut_lineage(linked.filter(F.col("parent").isNotNull()).select(
+    active = written(linked.filter(F.col("parent").isNotNull()).select(
         "id", F.col("parent").alias("ptr"), F.lit(1).cast("long").alias("size")))
     gains: list[DataFrame] = []
     count, steps = active.count(), 1
     while count:
-        got = cut_lineage(active.groupBy(F.col("ptr").alias("id")).agg(F.sum("size").alias("gain")))
+        got = written(active.groupBy(F.col("ptr").alias("id")).agg(F.sum("size").alias("gain")))
         gains.append(got)
         ahead = active.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"))
-        active = cut_lineage(
+        active = written(
             active.join(ahead, "ptr").join(got, "id", "left")
             .select("id", F.col("ptr2").alias("ptr"), (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size")))
         left, steps = active.count(), steps * 2
@@ -54,8 +54,8 @@ def _subtree_sizes(linked: DataFrame) -> DataFrame:
         sizes = linked.join(total, "id", "left").select("id", "parent", (F.coalesce("gain", F.lit(0)) + 1).alias("size"))
     if not count:
         return sizes.withColumn("on_cycle", F.lit(False))
-    looped = cut_lineage(active.select(F.col("ptr").alias("id")).distinct().withColumn("on_cycle", F.lit(True)))
-    marked = cut_lineage(sizes.join(looped, "id", "left").withColumn("on_cycle", F.coalesce("on_cycle", F.lit(False))))
+    looped = written(active.select(F.col("ptr").alias("id")).distinct().withColumn("on_cycle", F.lit(True)))
+    marked = written(sizes.join(looped, "id", "left").withColumn("on_cycle", F.coalesce("on_cycle", F.lit(False))))
     # a node on a cycle heads the trees that lead into it
     behind = marked.filter("NOT on_cycle").join(looped.select(F.col("id").alias("parent")), "parent").groupBy(
         F.col("parent").alias("id")).agg(F.sum("size").alias("behind"))
@@ -65,12 +65,12 @@ def _subtree_sizes(linked: DataFrame) -> DataFrame:
 
 def _cycle_labels(on_cycle: DataFrame) -> DataFrame:
     """id, cycle_id (smallest id on the node's cycle) by pointer doubling."""
-    state = cut_lineage(on_cycle.select("id", F.col("parent").alias("ptr"), F.col("id").alias("low")))
+    state = written(on_cycle.select("id", F.col("parent").alias("ptr"), F.col("id").alias("low")))
     if state.isEmpty():
         return state.select("id", F.col("low").alias("cycle_id"))
     while True:
         ahead = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("low").alias("low2"))
-        stepped = cut_lineage(
+        stepped = written(
             state.join(ahead, "ptr").select(
                 "id", F.col("ptr2").alias("ptr"), F.least("low", "low2").alias("low"),
                 (F.col("low2") < F.col("low")).alias("changed"))
@@ -112,11 +112,11 @@ def build_hierarchy(nodes: DataFrame, id_col: str = "id", parent_col: str = "par
         nodes.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent"))
         .filter(F.col("id").isNotNull()).groupBy("id").agg(F.max("parent").alias("parent"))
     )
-    base = cut_lineage(base)
+    base = written(base)
     known = base.select(F.col("id").alias("parent"), F.lit(True).alias("known"))
     linked = base.join(known, "parent", "left").select(
         "id", F.when(F.col("known"), F.col("parent")).alias("parent"))
-    sizes = cut_lineage(_subtree_sizes(cut_lineage(linked)))
+    sizes = written(_subtree_sizes(written(linked)))
     cycles = _cycle_labels(sizes.filter("on_cycle"))
 
     heads = (
@@ -132,7 +132,7 @@ def build_hierarchy(nodes: DataFrame, id_col: str = "id", parent_col: str = "par
     )
     if not with_path:
         heads, inner = (x.withColumn("path", F.lit(None).cast("array<string>")) for x in (heads, inner))
-    resolved, open_ = cut_lineage(heads), cut_lineage(inner)
+    resolved, open_ = written(heads), written(inner)
     done = [resolved]
     while not open_.isEmpty():
         # every open node looks at the node its pointer names, resolved or not
@@ -140,7 +140,7 @@ def build_hierarchy(nodes: DataFrame, id_col: str = "id", parent_col: str = "par
             F.col("id").alias("ptr"), F.col("ptr").alias("a_ptr"), F.col("off").alias("a_off"),
             F.col("steps").alias("a_steps"), F.col("path").alias("a_path"),
             F.col("cycle_id").alias("a_cycle"), F.col("tree_id").alias("a_tree"))
-        stepped = cut_lineage(
+        stepped = written(
             open_.drop("cycle_id", "tree_id").join(ahead, "ptr").select(
                 "id", F.col("a_ptr").alias("ptr"), (F.col("off") + F.col("a_off")).alias("off"),
                 (F.col("steps") + F.col("a_steps")).alias("steps"), F.concat("a_path", "path").alias("path"), "size",
