@@ -3,8 +3,10 @@
 1. Codebooks of full-dimensional codewords are fitted on a bounded sample, each on
    the residuals of those before it. A vector is encoded by beam search over all
    codebooks; the norm of what the code decodes to is stored with it.
-2. The first codeword (the first two for large collections) names the cell a vector
-   lives in; its beam also names the next best cells, which it probes as a query.
+2. The first codeword names the cell a vector lives in; its beam also names the next
+   best cells, which it probes as a query. Codewords between which sampled partners
+   get lost share a cell, until no cell loses more than a few of them: a hot group of
+   similar vectors takes many codewords, but ends up in one cell.
 3. Inside a cell, lookup tables of query-codeword products score every stored code.
    Pairs whose scored similarity is below a cut are passed over. The cut lies under
    the errors seen on sampled close pairs.
@@ -36,6 +38,10 @@ CODEBOOKS = 4
 BEAM = 3
 #: Cells each vector probes besides its own.
 EXTRA_PROBES = 1
+#: Share of the sampled partners of each cell that its members must meet; below it, cells are joined.
+CELL_RECALL = 0.95
+#: Close pairs of one batch of queries from which on each side's k best are picked before the pairs are made.
+DENSE_ROWS = 50_000
 #: Stored vectors of one block of a cell (30 MB).
 BLOCK_ROWS = 20_000
 #: From this many vectors on, cells are pairs of codewords and more of them are probed.
@@ -49,6 +55,8 @@ class Quantizer:
     """codebooks x codewords x dimension"""
     cut: float = -1.0
     pair_cells: bool = False
+    joined: np.ndarray | None = None
+    """cell of each first codeword, where codewords share cells"""
 
     def __post_init__(self) -> None:
         m, k, d = self.codebooks.shape
@@ -89,6 +97,8 @@ class Quantizer:
             codes = np.concatenate([np.take_along_axis(codes, (best // k)[:, :, None], 1), (best % k)[:, :, None]], axis=2)
             if j == 1 and self.pair_cells:
                 cells = codes[:, :, 0].astype(np.int64) * k + codes[:, :, 1]
+        if self.joined is not None and not self.pair_cells:
+            cells = self.joined[cells]
         final = codes[:, 0]
         norm2 = self.norms[np.arange(m)[None], final].sum(1)
         for i in range(m):
@@ -150,6 +160,36 @@ def fit(sample: np.ndarray, threshold: float, codebooks: int = CODEBOOKS, codewo
     return model
 
 
+def join_cells(model: Quantizer, sample: np.ndarray, threshold: float, k: int, least: float = CELL_RECALL) -> np.ndarray:
+    """Cell of each first codeword, such that every cell's sampled vectors meet `least` of their k best partners.
+
+    Partners in the sample are farther than those in all vectors, so the sample
+    loses more of them. A cell that loses too many is joined with the one it loses most to.
+    """
+    cells = model.encode(sample)[2]
+    left, right = [], []
+    for at in range(0, len(sample), 1024):
+        exact = sample[at:at + 1024] @ sample.T
+        exact[np.arange(len(exact)), np.arange(at, at + len(exact))] = -2.0
+        best = np.argpartition(exact, -min(k, len(sample) - 1), axis=1)[:, -min(k, len(sample) - 1):]
+        rows, cols = np.nonzero(np.take_along_axis(exact, best, 1) >= threshold)
+        left.append(rows + at)
+        right.append(best[rows, cols])
+    a, b = cells[np.concatenate(left)], cells[np.concatenate(right)]
+    joined, n = np.arange(model.codebooks.shape[1]), model.codebooks.shape[1]
+    while len(a):
+        x, y = joined[a], joined[b]
+        lost = ~((x[:, :1] == y).any(1) | (y[:, :1] == x).any(1))
+        loses = np.bincount(x[lost, 0], minlength=n)
+        bad = np.flatnonzero(loses > (1 - least) * np.bincount(x[:, 0], minlength=n))
+        if not len(bad):
+            break
+        worst = bad[loses[bad].argmax()]
+        other = np.bincount(y[lost & (x[:, 0] == worst), 0], minlength=n).argmax()
+        joined[joined == max(worst, other)] = min(worst, other)
+    return joined
+
+
 def _packed(col: str) -> Column:
     """Id as bytes: 16 for a UUID; other ids get a mark before (and behind, where that made 16)."""
     text = F.col(col)
@@ -232,12 +272,12 @@ def similar_pairs(chunks: DataFrame, k: int = 5, threshold: float = 0.75, dimens
         sample = _floats(table["vector"], dimension)
     sample = sample / np.linalg.norm(sample.astype(np.float64), axis=1, keepdims=True).astype(np.float32)
     model = fit(sample, threshold, codewords=min(CODEWORDS, max(2, len(sample) // 16)), pair_cells=pair_cells)
-    books, cut = model.codebooks, model.cut
-    shared = spark.sparkContext.broadcast((books, cut, pair_cells))
+    if not pair_cells:
+        model.joined = join_cells(model, sample, threshold, k)
+    shared = spark.sparkContext.broadcast((model.codebooks, model.cut, pair_cells, model.joined))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books, cut, pairs = shared.value
-        model = Quantizer(books, cut, pairs)
+        model = Quantizer(*shared.value)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -248,14 +288,18 @@ def similar_pairs(chunks: DataFrame, k: int = 5, threshold: float = 0.75, dimens
                 part = slice(at, at + 1024)
                 codes, norms, cells = model.encode(x[part])
                 n, probes = cells.shape
+                # a probe whose codeword shares a cell with an earlier one asks nothing new
+                new = np.stack([~(cells[:, :i] == cells[:, i:i + 1]).any(1) for i in range(probes)], axis=1)
+                row, probe = np.nonzero(new)
+                rows = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("id").slice(at, n).take(pa.array(np.repeat(np.arange(n), probes))),
-                        pa.array(cells.ravel()),
-                        pa.array(np.tile(np.arange(probes) > 0, n)),
-                        pa.array([r.tobytes() for r in half[part]], pa.binary()).take(pa.array(np.repeat(np.arange(n), probes))),
-                        pa.array([r.tobytes() for r in codes], pa.binary()).take(pa.array(np.repeat(np.arange(n), probes))),
-                        pa.array(np.repeat(norms, probes)),
+                        batch.column("id").slice(at, n).take(rows),
+                        pa.array(cells[row, probe]),
+                        pa.array(probe > 0),
+                        pa.array([r.tobytes() for r in half[part]], pa.binary()).take(rows),
+                        pa.array([r.tobytes() for r in codes], pa.binary()).take(rows),
+                        pa.array(norms[row]),
                     ],
                     names=["id", "cell", "is_probe", "vector", "code", "norm"],
                 )
@@ -304,6 +348,8 @@ def _search(shared, dimension: int, k: int, threshold: float):
 
         def compare(ids, x, stored) -> Iterator[pa.RecordBatch]:
             s_ids, s_x, s_codes, s_norms = stored
+            # the best similarities of each stored vector so far, one more than k as it may meet itself
+            top = None
             for at in range(0, len(ids), 256):
                 q = x[at:at + 256]
                 near = model.scores(model.tables(q), s_codes, s_norms) >= model.cut
@@ -312,7 +358,15 @@ def _search(shared, dimension: int, k: int, threshold: float):
                     continue
                 exact = q @ s_x[columns].T
                 exact[~near[:, columns]] = -2.0
-                rows, cols = np.nonzero(exact >= threshold - 1e-4)
+                close = exact >= threshold - 1e-4
+                if top is not None or np.count_nonzero(close) > DENSE_ROWS:
+                    # where most pairs are close, only those go on that can be among the k best of either side, ties included
+                    top = np.full((len(s_ids), k + 1), -2.0, np.float32) if top is None else top
+                    seen = np.concatenate([top[columns], exact.T], axis=1)
+                    top[columns] = np.partition(seen, seen.shape[1] - k - 1, axis=1)[:, -k - 1:]
+                    own = np.partition(exact, -min(k + 1, len(columns)), axis=1)[:, -min(k + 1, len(columns))]
+                    close &= (exact >= own[:, None] - 1e-5) | (exact >= top[columns].min(axis=1)[None] - 1e-5)
+                rows, cols = np.nonzero(close)
                 values, cols = exact[rows, cols], columns[cols]
                 values = np.round(values.astype(np.float64), 6)
                 keep = values >= threshold

@@ -76,3 +76,23 @@ def test_codes_decode_to_what_is_scored():
     c1 = greedy.encode(x, beam=1)[0]
     assert beam_error <= ((x - sum(model.codebooks[j][c1[:, j]] for j in range(c1.shape[1]))) ** 2).sum() + 1e-3
     assert (cells[:, 0] == codes[:, 0]).mean() > 0.5
+
+
+def hot_group(seed, n=3000):
+    """A third of the vectors around one centre at cosine about 0.8, the rest in groups of 8."""
+    rng = np.random.default_rng(seed)
+    hot = rng.standard_normal(384) + 0.5 * rng.standard_normal((n // 3, 384))
+    x = np.concatenate([(hot / np.linalg.norm(hot, axis=1, keepdims=True)).astype(np.float32), clusters(n * 2 // 3 // 8, 8, seed + 1)])
+    return x[rng.permutation(len(x))]
+
+
+@pytest.mark.parametrize("block", [20_000, 400])
+def test_recall_in_a_hot_group(spark, block):
+    x = hot_group(11)
+    ids = [f"{i:08x}-0000-0000-0000-{i:012x}" for i in range(len(x))]
+    got = {(r["id"], r["other"]) for r in similar_pairs(frame(spark, ids, x), block_rows=block).collect()}
+    want = brute(ids, x, 5, 0.75)
+    hot = {ids[i] for i in np.flatnonzero((x @ x.T > 0.7).sum(1) > 100)}
+    in_hot = {p for p in want if p[0] in hot}
+    assert len(hot) == 1000 and len(got & in_hot) >= 0.9 * len(in_hot)
+    assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got)
