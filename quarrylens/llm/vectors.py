@@ -44,8 +44,7 @@ CELL_RECALL = 0.95
 DENSE_ROWS = 50_000
 #: Stored vectors of one block of a cell (30 MB).
 BLOCK_ROWS = 20_000
-#: From this many vectors on, cells are pairs of codewords and more of them are probed.
-PAIR_CELLS_FROM = 2_000_000
+#: Cells each vector probes where these are pairs of codewords (only if asked for).
 PAIR_PROBES = 8
 
 
@@ -233,7 +232,7 @@ def _fingerprint() -> list:
 
 
 def similar_pairs(chunks: DataFrame, k: int = 5, threshold: float = 0.75, dimension: int = DIMENSION, sample_rows: int = SAMPLE_ROWS,
-                  block_rows: int = BLOCK_ROWS, pair_cells: bool | None = None) -> DataFrame:
+                  block_rows: int = BLOCK_ROWS, pair_cells: bool = False) -> DataFrame:
     """id, other, similarity: for each record its k most similar others at or above the threshold.
 
     Only the newest version of an id counts, and only with a usable vector. Equal
@@ -241,7 +240,9 @@ def similar_pairs(chunks: DataFrame, k: int = 5, threshold: float = 0.75, dimens
     count as different records; each gets its own row set. Rows with a null id,
     null, short or zero vectors take no part; an empty input gives an empty result.
     Approximate: a partner is missed only if neither lies in a cell the other
-    probes, or if its scored similarity falls below the calibrated cut.
+    probes, or if its scored similarity falls below the calibrated cut. The rule is
+    the same at every size; `pair_cells` asks for cells of codeword pairs, which
+    are cheaper to search and lose most partners inside a hot group.
     """
     spark = chunks.sparkSession
     out_schema = "id string, other string, similarity double"
@@ -261,7 +262,6 @@ def similar_pairs(chunks: DataFrame, k: int = 5, threshold: float = 0.75, dimens
     copies = narrow.join(equal.select("h1", "h2", "first_id"), ["h1", "h2"]).select("first_id", "id")
     redundant = cut_lineage(copies.filter("id <> first_id").select("id"))
 
-    pair_cells = n_vectors >= PAIR_CELLS_FROM if pair_cells is None else pair_cells
     rate = min(1.0, sample_rows / n_vectors)
     drawn = usable_vectors(chunks, dimension=dimension).filter(
         F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_000)) < F.lit(int(rate * 1_000_000))).select("id", "vector")

@@ -3,6 +3,7 @@ from datetime import datetime
 import numpy as np
 import pytest
 
+from quarrylens.llm import vectors
 from quarrylens.llm.vectors import Quantizer, fit, similar_pairs
 
 SCHEMA = "id string, embedding array<float>, ingested_at timestamp_ntz, vector string, cell long"
@@ -96,3 +97,12 @@ def test_recall_in_a_hot_group(spark, block):
     in_hot = {p for p in want if p[0] in hot}
     assert len(hot) == 1000 and len(got & in_hot) >= 0.9 * len(in_hot)
     assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got)
+
+
+def test_the_candidate_rule_does_not_depend_on_size(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "PAIR_CELLS_FROM", 100, raising=False)
+    x = hot_group(12, 1500)
+    ids = [f"{i:08x}-0000-0000-0000-{i:012x}" for i in range(len(x))]
+    got = {(r["id"], r["other"]) for r in similar_pairs(frame(spark, ids, x)).collect()}
+    want = brute(ids, x, 5, 0.75)
+    assert len(got & want) >= 0.95 * len(want)
