@@ -80,8 +80,11 @@ def embedding_texts(spark: SparkSession, d: str) -> DataFrame:
     m = CodeModel(spark, d)
     paths = m.files.select(F.col("id").alias("file_id"), "repository_id", F.col("path").alias("file_path"))
     names = m.symbols.select(F.col("id").alias("symbol_id"), "name", "type")
-    text = embedding_text(F.col("file_path"), F.col("name"), F.col("type"), F.col("start_line"), F.col("end_line"), F.lit("*"))
-    return m.chunks.join(paths, ["file_id", "repository_id"]).join(names, "symbol_id", "left").select("id", text.alias("embedding_text"))
+    text = embedding_text(F.col("file_path"), F.col("name"), F.col("type"), F.col("start_line"), F.col("end_line"), F.col("content"))
+    # the text of the version that holds, found by the hash that was chosen with it
+    texts = m.raw("code_chunks").select(canonical_id("id").alias("id"), F.xxhash64("content").alias("content_hash"), "content").groupBy(
+        "id", "content_hash").agg(F.first("content").alias("content"))
+    return m.chunks.join(texts, ["id", "content_hash"]).join(paths, ["file_id", "repository_id"]).join(names, "symbol_id", "left").select("id", text.alias("embedding_text"))
 
 
 QUERIES = {f.__name__: f for f in (

@@ -89,3 +89,15 @@ def test_anchored_windows_match_loops_in_batch_and_stream(spark, tmp_path):
     assert {r["event_id"]: r["rejected"] for r in R.drain(R.anchored_limits(stream, "user_id", 60, 2)).collect()} == want
     counts = R.drain(R.window_counts(stream, ["user_id"], "1 minute", "1 second")).collect()
     assert sum(r["n_requests"] for r in counts) == sum(s < 360 for _, s, _ in rows)
+
+
+def test_embedding_texts_hold_the_content(spark):
+    from quarrylens.plans.retrieval import embedding_texts
+
+    d = "/root/testdata/sf0.001"
+    got = {r["id"]: r["embedding_text"] for r in embedding_texts(spark, d).collect()}
+    delivered = {}
+    for r in spark.read.parquet(f"{d}/code_chunks.parquet").select("id", "content").collect():
+        delivered.setdefault((r["id"] or "").strip(" \t\r\n").lower(), set()).add(r["content"])
+    assert got and all(t is None or t.split("\n\n", 1)[1] in delivered[i] for i, t in got.items())
+    assert sum(t is None or t.endswith("\n\n*") for t in got.values()) <= sum(bool(v & {None, "*"}) for v in delivered.values())
