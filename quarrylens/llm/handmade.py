@@ -9,6 +9,9 @@
    repositories. Each class votes with its keys for classes elsewhere, which takes
    one row per key and class, however many copies there are; the overlap with the
    class voted for most is then counted exactly.
+4. A class whose choice falls short, but which has enough keys elsewhere, is compared
+   with every class that can hold enough of them: one that does must hold one of its
+   rarest keys, of which all but as many as are needed, less one, are looked up.
 """
 
 from __future__ import annotations
@@ -199,15 +202,18 @@ def profile_files(contents: DataFrame) -> DataFrame:
         F.when(F.size("keys") > 0, F.xxhash64("keys")).alias("class_id"), F.size("keys").alias("n_keys"), "keys")
 
 
-def cross_repository_containment(profiles: DataFrame) -> DataFrame:
+def cross_repository_containment(profiles: DataFrame, min_containment: float = MIN_CONTAINMENT, min_shared: int = MIN_SHARED_KEYS) -> DataFrame:
     """class_id, repo, n_keys, shared, containment: the largest overlap found with one class of another repository.
 
     A class with files in two repositories is contained in itself for each of them.
-    The overlap is exact for the class chosen by the votes.
+    The overlap is exact for the class chosen by the votes; where that one is below
+    `min_containment` (half of it in folders for third-party code) or `min_shared`, it
+    is the largest of all classes that reach both.
     """
     members = profiles.filter(F.col("class_id").isNotNull())
     classes = cut_lineage(
-        members.groupBy("class_id", "repo").agg(F.first("keys").alias("keys"), F.first("n_keys").alias("n_keys")))
+        members.groupBy("class_id", "repo").agg(F.first("keys").alias("keys"), F.first("n_keys").alias("n_keys"),
+            F.max("in_vendor_dir").alias("some_vendor"), F.min("in_vendor_dir").alias("all_vendor")))
     spread = classes.groupBy("class_id").agg(F.min("repo").alias("low"), F.max("repo").alias("high"))
     postings = classes.select("class_id", "repo", F.explode("keys").alias("key"))
     per_repo = postings.groupBy("key", "repo").agg(F.min("class_id").alias("class_id"))
@@ -221,17 +227,40 @@ def cross_repository_containment(profiles: DataFrame) -> DataFrame:
         postings.join(index, "key")
         .select("class_id", "repo", F.when(F.col("a.repo") != F.col("repo"), F.col("a.class_id")).otherwise(F.col("b.class_id")).alias("other"))
         .groupBy("class_id", "repo", "other").agg(F.count("*").alias("votes"))
-        .groupBy("class_id", "repo").agg(F.max(F.struct("votes", "other")).alias("v"))
-        .select("class_id", "repo", "v.other")
+        .groupBy("class_id", "repo").agg(F.max(F.struct("votes", "other")).alias("v"), F.sum("votes").alias("reach"))
+        .select("class_id", "repo", "v.other", "reach")
     )
-    candidates = classes.join(votes, ["class_id", "repo"]).select("class_id", "repo", "n_keys", "keys", "other")
+    candidates = classes.join(votes, ["class_id", "repo"]).select(
+        "class_id", "repo", "n_keys", "keys", "some_vendor", "all_vendor", "other", "reach")
     whole = classes.groupBy(F.col("class_id").alias("other")).agg(F.first("keys").alias("other_keys"))
-    overlap = candidates.join(whole, "other").select(
-        "class_id", "repo", "n_keys", F.size(F.array_intersect("keys", "other_keys")).alias("shared"))
+    overlap = cut_lineage(candidates.join(whole, "other").select(
+        "class_id", "repo", "n_keys", "some_vendor", "all_vendor", "reach", F.size(F.array_intersect("keys", "other_keys")).alias("shared")))
+    # classes whose choice falls short though their keys elsewhere would do
+    least, most = (
+        F.greatest(F.lit(min_shared), F.ceil(F.col("n_keys") * F.when(F.col(c), min_containment / 2).otherwise(min_containment) - 1e-9))
+        for c in ("some_vendor", "all_vendor"))
+    short = overlap.withColumn("needed", F.when(F.col("shared") < least, least).otherwise(most)).filter(
+        (F.col("shared") < most) & (F.col("reach") >= F.col("needed"))).join(spread.filter("low = high").select("class_id"), "class_id", "left_semi")
+    short = cut_lineage(short.select("class_id", "repo", "needed"))
+    if not short.isEmpty():
+        per_class = spread.join(whole.withColumnRenamed("other", "class_id"), "class_id").select(
+            F.col("class_id").alias("other"), "low", "high", F.explode("other_keys").alias("key"))
+        asked = short.join(postings, ["class_id", "repo"])
+        elsewhere = per_class.join(asked.select("key").distinct(), "key", "left_semi").groupBy("key").agg(
+            F.count("*").alias("n_classes"), F.min("low").alias("low"), F.max("high").alias("high"))
+        rarest = asked.join(elsewhere, "key").filter("low <> repo OR high <> repo").groupBy("class_id", "repo", "needed").agg(
+            F.array_sort(F.collect_list(F.struct("n_classes", "key"))).alias("by_rarity"))
+        looked_up = rarest.select("class_id", "repo", F.explode(
+            F.slice("by_rarity", F.lit(1), F.greatest(F.lit(0), F.size("by_rarity") - F.col("needed") + 1).cast("int"))).alias("k"))
+        pairs = looked_up.select("class_id", "repo", "k.key").join(per_class, "key").filter(
+            "other <> class_id AND (low <> repo OR high <> repo)").select("class_id", "repo", "other").distinct()
+        more = pairs.join(classes, ["class_id", "repo"]).join(whole, "other").select(
+            "class_id", "repo", "n_keys", F.size(F.array_intersect("keys", "other_keys")).alias("shared"))
+        overlap = overlap.select(more.columns).unionByName(more)
     copied = classes.join(spread.filter("low <> high"), "class_id").select(
         "class_id", "repo", "n_keys", F.col("n_keys").alias("shared"))
     return (
-        overlap.unionByName(copied).groupBy("class_id", "repo")
+        overlap.select(copied.columns).unionByName(copied).groupBy("class_id", "repo")
         .agg(F.max("shared").alias("shared"), F.max("n_keys").alias("n_keys"))
         .select("class_id", "repo", "n_keys", "shared", (F.col("shared") / F.col("n_keys")).alias("containment"))
     )
@@ -245,7 +274,7 @@ def classify_files(contents: DataFrame, min_containment: float = MIN_CONTAINMENT
     with equal ids are judged apart and given once with the first kind by name.
     """
     profiles = cut_lineage(profile_files(contents))
-    contained = cross_repository_containment(profiles).select("class_id", "repo", "shared", "containment")
+    contained = cross_repository_containment(profiles, min_containment, min_shared).select("class_id", "repo", "shared", "containment")
     joined = profiles.drop("keys").join(contained, ["class_id", "repo"], "left")
     needed = F.when(F.col("in_vendor_dir"), min_containment / 2).otherwise(min_containment)
     copied = (F.col("containment") >= needed) & (F.col("shared") >= min_shared)

@@ -50,3 +50,19 @@ def test_hot_library(spark):
     rows = [(f"f{i}", f"r{i}", "x.js", LIB if i % 2 else LIB + f"\nexport const tail{i} = compute({i}, {i + 1});") for i in range(60)]
     df = spark.createDataFrame(rows, "file_id string, repository_id string, path string, content string")
     assert classify_files(df).filter("kind = 'vendored'").count() == 60
+
+
+def test_copies_of_several_versions(spark):
+    """An edited copy whose keys are shared by thirds with three versions: the class most voted for holds less than half."""
+    def part(name, n):
+        names = [f"{name}{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(n)]
+        return [f"export function {w}(value, other) {{ return value * {i * 37} + other.{w}Field; }}" for i, w in enumerate(names)]
+
+    first, second, third = part("red", 40), part("cold", 30), part("late", 33)
+    texts = {"v1": first + part("one", 30), "v3": third + part("three", 30), "v2": first + second + third, "edited": first + second + third + part("tail", 5)}
+    # more classes hold the keys of v1 and v3, so that these classes are the least and greatest of more keys
+    rows = [(k, f"r-{k}", "src/x.js", "\n".join(t)) for k, t in texts.items()]
+    rows += [(f"{k}-{i}", f"r-{k}-{i}", "src/x.js", "\n".join(texts[k] + part(f"own{chr(97 + i // 26)}{chr(97 + i % 26)}x", 40))) for i in range(40) for k in ("v1", "v3")]
+    got = {r["file_id"]: (r["kind"], r["containment"]) for r in classify_files(spark.createDataFrame(
+        rows, "file_id string, repository_id string, path string, content string")).collect()}
+    assert got["edited"][0] == got["v2"][0] == "vendored" and got["edited"][1] > 0.9
