@@ -108,6 +108,11 @@ def build_hierarchy(nodes: DataFrame, id_col: str = "id", parent_col: str = "par
     whose range covers the nodes that lead into it. Rows with a null id are left
     out; an empty input gives an empty result; other columns are ignored.
     """
+    return _with_tree_paths(nodes, id_col, parent_col, with_path).drop("tree_path")
+
+
+def _with_tree_paths(nodes: DataFrame, id_col: str, parent_col: str, with_path: bool = True) -> DataFrame:
+    """`build_hierarchy` and tree_path: ids from the head of a node's tree down, behind cycles too."""
     base = (
         nodes.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent"))
         .filter(F.col("id").isNotNull()).groupBy("id").agg(F.max("parent").alias("parent"))
@@ -159,17 +164,29 @@ def build_hierarchy(nodes: DataFrame, id_col: str = "id", parent_col: str = "par
         "tree_id",
         F.col("off").alias("lft"),
         (F.col("off") + F.col("size") - 1).alias("rgt"),
+        F.col("path").alias("tree_path"),
     )
 
 
 def descendants(hierarchy: DataFrame) -> DataFrame:
-    """All (ancestor_id, descendant_id, distance) pairs of the trees, by their nested ranges.
+    """All (ancestor_id, descendant_id, distance) pairs of acyclic nodes, read off their paths; see `all_descendants`."""
+    return _pairs(hierarchy.filter("depth > 0").withColumn("tree_path", F.col("path")))
+
 
-    Ancestors come from each node's path, which holds the same pairs as the range
-    test without a range join; a node on or behind a cycle has none.
+def all_descendants(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
+    """All (ancestor_id, descendant_id, distance) pairs of the trees, as their nested ranges have them.
+
+    Ancestors come from each node's path within its tree, which holds the same pairs
+    as the range test without a range join. A node on a cycle heads its tree: it is
+    an ancestor of the nodes behind it, and no other node of the cycle is.
     """
+    return _pairs(_with_tree_paths(nodes, id_col, parent_col))
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    above = F.size("tree_path") - 1
     return (
-        hierarchy.filter("depth > 0")
-        .select(F.col("id").alias("descendant_id"), "depth", F.posexplode(F.slice("path", 1, F.col("depth"))))
-        .select(F.col("col").alias("ancestor_id"), "descendant_id", (F.col("depth") - F.col("pos")).alias("distance"))
+        rows.filter(above > 0)
+        .select(F.col("id").alias("descendant_id"), above.alias("above"), F.posexplode(F.slice("tree_path", 1, above)))
+        .select(F.col("col").alias("ancestor_id"), "descendant_id", (F.col("above") - F.col("pos")).alias("distance"))
     )

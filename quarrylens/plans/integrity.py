@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarrylens.operators.hierarchy import build_hierarchy, descendants
+from quarrylens.operators.hierarchy import all_descendants, build_hierarchy
 from quarrylens.operators.orphans import code_orphans, orphan_report
 from quarrylens.operators.records import canonical_id, latest_versions
 from quarrylens.session import load
@@ -52,7 +52,7 @@ def p4_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return descendants(build_hierarchy(symbol_nodes(spark, d)))
+    return all_descendants(symbol_nodes(spark, d))
 
 
 def p4_cycles(spark: SparkSession, d: str) -> DataFrame:

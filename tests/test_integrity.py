@@ -3,7 +3,7 @@ from datetime import datetime
 
 import pytest
 
-from quarrylens.operators.hierarchy import build_hierarchy, descendants
+from quarrylens.operators.hierarchy import all_descendants, build_hierarchy, descendants
 from quarrylens.operators.orphans import code_orphans, orphan_report
 from quarrylens.operators.records import canonical_id, latest_versions
 
@@ -104,3 +104,12 @@ def test_latest_versions_and_ids(spark):
     df = spark.createDataFrame(rows, "id string, x int, ingested_at timestamp_ntz").withColumn("id", canonical_id("id"))
     got = {r["id"]: (r["x"], r["arrived_at"]) for r in latest_versions(df, ["x"]).collect()}
     assert got == {"a": (3, T(1)), "b": (None, None)}
+
+
+def test_descendants_behind_cycles(spark):
+    """A parent on a cycle keeps its pairs with the nodes behind it; as many pairs as the nested ranges count."""
+    rows = [("a", "b"), ("b", "a"), ("c", "a"), ("d", "c"), ("e", "d"), ("r", None), ("s", "r")]
+    nodes = spark.createDataFrame(rows, "id string, parent_id string")
+    got = {tuple(r) for r in all_descendants(nodes).collect()}
+    assert got == {("a", "c", 1), ("a", "d", 2), ("a", "e", 3), ("c", "d", 1), ("c", "e", 2), ("d", "e", 1), ("r", "s", 1)}
+    assert len(got) == build_hierarchy(nodes).agg({"n_descendants": "sum"}).first()[0]
