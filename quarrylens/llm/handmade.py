@@ -74,7 +74,7 @@ _KEYWORDS = frozenset(
 def header_lines(text: str) -> list[str]:
     """Comment lines before the first line of code (package and import lines do not end the header)."""
     lines, inside = [], False
-    for line in text.lstrip("﻿").split("\n")[:400]:
+    for line in text.lstrip("﻿").split("\n"):
         s = line.strip()
         if not s:
             continue
@@ -145,14 +145,14 @@ def rule_class(path: str | None, text: str) -> str | None:
     if not text.strip():
         return None
     header = header_lines(text)
-    if any(_GENERATED.search(x) for x in header[:40]):
+    if any(_GENERATED.search(x) for x in header):
         return "generated"
     first_type = re.search(r"\b(?:class|interface|enum|record)\s+\w", text)
     if _JAVA_GENERATED.search(text, 0, first_type.start() if first_type else len(text)):
         return "generated"
     if _SOURCE_MAP.search(text):
         return "minified"
-    if any(_LICENSED.search(x) for x in header[:12]):
+    if any(_LICENSED.search(x) for x in header):
         return "vendored"
     c = composition(text)
     plain_json = text.lstrip().startswith(("{", "[")) and c["dense"] < 4000

@@ -66,3 +66,10 @@ def test_copies_of_several_versions(spark):
     got = {r["file_id"]: (r["kind"], r["containment"]) for r in classify_files(spark.createDataFrame(
         rows, "file_id string, repository_id string, path string, content string")).collect()}
     assert got["edited"][0] == got["v2"][0] == "vendored" and got["edited"][1] > 0.9
+
+
+def test_marks_after_a_long_licence():
+    terms = "".join(f" * term {w} of the licence\n" for w in WORDS * 20)
+    assert rule_class("a.js", "/*\n" + terms + " * Code generated by gen 1.2. DO NOT EDIT.\n */\n" + HAND) == "generated"
+    assert rule_class("a.js", "/*\n" + terms + " * @license lib 1.2.3\n */\n" + HAND) == "vendored"
+    assert rule_class("a.js", "/*\n" + terms + " */\n" + HAND) is None
