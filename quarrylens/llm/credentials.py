@@ -48,8 +48,9 @@ _QUOTED = re.compile(
     |(?P<template>`(?:\\.|[^`\\])*(?:`|\Z))""",
     re.S | re.X,
 )
-#: What every value taken from a literal has: a digit, a sign no word has, a scheme, or capitals inside.
+#: What every value taken from a literal has: a digit, a sign no word has, a scheme, or capitals inside; else its letters look scrambled.
 _CANDIDATE = re.compile(r"[0-9]|[^\w\s./:,-]|[a-z][A-Z]|[A-Z]{2}[a-z]|\S{20}|(?i:basic|bearer|token|digest|apikey) \S")
+_LETTERS = re.compile(r"[^\W\d_]{8,}")
 _APPENDED = re.compile(r"\s*\+\s*[\"']")
 #: Letters without which no pair in a comment or embedded text names a credential.
 _HINT = re.compile(r"(?i)pass|pwd|pw|secret|token|cred|auth|key|phrase|kennwort|contras|senha|motdepasse|bearer|basic|jwt|pat\b")
@@ -240,7 +241,8 @@ class _Scan:
                 self.tokens.append((kind, *m.span()))
             elif not wanted:
                 value = m.group()[1:-1]
-                wanted = len(value) < 3 or _CANDIDATE.search(value) is not None or _APPENDED.match(text, m.end()) is not None
+                wanted = len(value) < 3 or _CANDIDATE.search(value) is not None or any(
+                    looks_scrambled(x) for x in _LETTERS.findall(value)) or _APPENDED.match(text, m.end()) is not None
         if wanted:
             self.tokens = [(m.lastgroup, *m.span()) for m in _TOKEN.finditer(text)]
             self.code = [t for t in self.tokens if t[0] != "comment"]

@@ -79,3 +79,8 @@ def test_scan_keeps_the_newest_version(spark):
     got = {r["id"]: list(r["lines"]) for r in scan_chunks(df).collect()}
     assert got == {"a": [], "b": [2], "c": [], "d": []}
     assert scan_chunks(df.limit(0)).count() == 0
+
+
+def test_letters_only_value_alone_in_its_chunk():
+    alone = find_credentials('String password = "qwrtzpsd";')
+    assert [f.spans for f in alone] == [f.spans for f in find_credentials('String password = "qwrtzpsd"; String other = "a1b2";')] and len(alone) == 1
