@@ -51,6 +51,7 @@ _QUOTED = re.compile(
 #: What every value taken from a literal has: a digit, a sign no word has, a scheme, or capitals inside; else its letters look scrambled.
 _CANDIDATE = re.compile(r"[0-9]|[^\w\s./:,-]|[a-z][A-Z]|[A-Z]{2}[a-z]|\S{20}|(?i:basic|bearer|token|digest|apikey) \S")
 _LETTERS = re.compile(r"[^\W\d_]{8,}")
+_KEY_RUN = re.compile(r"(?:[A-Za-z0-9+/=]{16,}|\\[nr]|[\s\"'`+,])*+[A-Za-z0-9+/=]*")
 _APPENDED = re.compile(r"\s*\+\s*[\"']")
 #: Letters without which no pair in a comment or embedded text names a credential.
 _HINT = re.compile(r"(?i)pass|pwd|pw|secret|token|cred|auth|key|phrase|kennwort|contras|senha|motdepasse|bearer|basic|jwt|pat\b")
@@ -176,7 +177,7 @@ def looks_scrambled(text: str) -> bool:
 def is_secret_value(value: str) -> bool:
     """Could this be a real credential, given that its place is one for credentials?"""
     v = value.strip()
-    if len(v) < 5 or len(v) > 4096 or re.search(r"\s", v):
+    if len(v) < 5 or re.search(r"\s", v):
         return False
     if _PLACEHOLDER.search(v) or _REGEX_LIKE.search(v) or _ENV_NAME.match(v) or _DIGEST.search(v):
         return False
@@ -465,7 +466,8 @@ class _Scan:
         """Values that show what they are wherever they stand."""
         for m in _PEM.finditer(self.text):
             end = _PEM_END.search(self.text, m.end())
-            stop = end.start() if end else min(len(self.text), m.end() + 4000)
+            # without its end, a block goes to the end of its base64 run
+            stop = end.start() if end else max(min(len(self.text), m.end() + 4000), _KEY_RUN.match(self.text, m.end()).end())
             body = [(x.start() + m.end(), x.end() + m.end())
                     for x in re.finditer(r"(?<![\\A-Za-z0-9+/=])[A-Za-z0-9+/=]{8,}|(?<=\\n)[A-Za-z0-9+/=]{8,}",
                                          self.text[m.end():stop])]

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 import pytest
@@ -84,3 +85,13 @@ def test_scan_keeps_the_newest_version(spark):
 def test_letters_only_value_alone_in_its_chunk():
     alone = find_credentials('String password = "qwrtzpsd";')
     assert [f.spans for f in alone] == [f.spans for f in find_credentials('String password = "qwrtzpsd"; String other = "a1b2";')] and len(alone) == 1
+
+
+def test_long_values_and_cut_key_blocks():
+    rng = random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    body = ["".join(rng.choices(letters, k=64)) for _ in range(120)]
+    assert len(find_credentials(f'String keystorePassword = "{"".join(body)}";')) == 1
+    text = "-----BEGIN RSA PRIVATE " + "KEY-----\n" + "\n".join(body)
+    hidden = redact(text, find_credentials(text))
+    assert not any(line in hidden for line in body)
