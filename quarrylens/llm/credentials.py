@@ -15,8 +15,10 @@ import base64
 import binascii
 import math
 import re
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pandas as pd
@@ -30,29 +32,8 @@ class Finding(NamedTuple):
     spans: tuple[tuple[int, int], ...]
 
 
-_TOKEN = re.compile(
-    r"""(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))
-    |(?P<block>\"\"\"(?:\\.|[^\\])*?(?:\"\"\"|\Z))
-    |(?P<string>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')
-    |(?P<template>`(?:\\.|[^`\\])*(?:`|\Z))
-    |(?P<name>[A-Za-z_$][\w$]*)
-    |(?P<number>\d[\w.]*)
-    |(?P<op>\?\?|\|\||&&|=>|[=!]==?|[+]=|\S)""",
-    re.S | re.X,
-)
-
-_QUOTED = re.compile(
-    r"""(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))
-    |(?P<block>\"\"\"(?:\\.|[^\\])*?(?:\"\"\"|\Z))
-    |(?P<string>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')
-    |(?P<template>`(?:\\.|[^`\\])*(?:`|\Z))""",
-    re.S | re.X,
-)
-#: What every value taken from a literal has: a digit, a sign no word has, a scheme, or capitals inside; else its letters look scrambled.
-_CANDIDATE = re.compile(r"[0-9]|[^\w\s./:,-]|[a-z][A-Z]|[A-Z]{2}[a-z]|\S{20}|(?i:basic|bearer|token|digest|apikey) \S")
-_LETTERS = re.compile(r"[^\W\d_]{8,}")
 _KEY_RUN = re.compile(r"(?:[A-Za-z0-9+/=]{16,}|\\[nr]|[\s\"'`+,])*+[A-Za-z0-9+/=]*")
-_APPENDED = re.compile(r"\s*\+\s*[\"']")
+_KEY_LINE = re.compile(r"(?<![\\A-Za-z0-9+/=])[A-Za-z0-9+/]+={0,2}(?=\\[nr]|[\s\"'`]|$)|(?<=\\[nr])[A-Za-z0-9+/]+={0,2}")
 #: Letters without which no pair in a comment or embedded text names a credential.
 _HINT = re.compile(r"(?i)pass|pwd|pw|secret|token|cred|auth|key|phrase|kennwort|contras|senha|motdepasse|bearer|basic|jwt|pat\b")
 
@@ -61,6 +42,10 @@ _SECRET_WORDS = frozenset(
     "password passwd passwort passphrase phrase pwd pw pass passcode kennwort contrasena contrasenha senha motdepasse "
     "secret token credential credentials cred creds apikey authorization auth bearer jwt pat".split()
 )
+_PASSWORD_WORDS = frozenset(
+    "password passwd passwort passphrase phrase pwd pw pass passcode kennwort contrasena contrasenha senha motdepasse".split()
+)
+_GRANT_WORDS = frozenset("granted grant authenticated authorized authorised allowed permitted unlocked loggedin isadmin signedin admitted".split())
 _KEY_QUALIFIERS = frozenset(
     "api secret private access signing sign encryption auth service client account master admin app aes hmac rsa ssh "
     "deploy license stripe webhook shared".split()
@@ -68,7 +53,7 @@ _KEY_QUALIFIERS = frozenset(
 _PREFIX_VERBS = frozenset("set with add use put assign apply configure get fetch read load".split())
 _DECODERS = re.compile(r"(?i)(decode|atob|unhex|from_?(base64|hex)|b64|base64|^from$|fromcharcode|^string$|^valueof$|tochararray|getbytes|^of$|^concat$|^join$|reverse)")
 _DEFAULTING = re.compile(r"(?i)(ordefault|orelse|getproperty|defaultto|^get$|^env$|^getenv$|^optional$|^option$)")
-_LOGIN = re.compile(r"(?i)^(log_?in|sign_?in|authenticate|auth|connect|get_?connection|credentials|basic_?auth|set_?basic_?auth|with_?credentials|create_?connection|password_?authentication)$")
+_LOGIN = re.compile(r"(?i)^(set_?credentials|log_?in|sign_?in|authenticate|auth|connect|get_?connection|credentials|basic_?auth|set_?basic_?auth|with_?credentials|create_?connection|password_?authentication)$")
 _PAIR_SETTERS = re.compile(r"(?i)(header|^set$|^put$|^add$|^append$|property|^entry$|^param|^with$|attribute|^option$|^field$|^of$)")
 
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -91,6 +76,8 @@ _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY(?: BLOCK)?-----")
 _PEM_END = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 _URL_USER = re.compile(r"[A-Za-z][\w+.-]*://([^\s/:@\"'`<>]*):([^\s@\"'`<>]+?)@(?=[\w\[$<{%])")
 _URL_PARAM = re.compile(r"[?&;]([A-Za-z_][\w.-]*)=([^\s&;#\"'`<>]+)")
+_URL = re.compile(r"://[^\s\"'`<>]+")
+_MARKUP = re.compile(r"<[\w.:-]+\s[^<>]*?\b(?:name|key|id)\s*=\s*[\"']([\w.-]+)[\"'][^<>]*?\bvalue\s*=\s*[\"']([^\"'<>]+)[\"']|<([\w.-]+)>([^<>\s]+)</\3>")
 _SCHEME = re.compile(r"(?i)^\s*(basic|bearer|token|digest|apikey)\s+(\S+)\s*$")
 _SCHEME_IN_TEXT = re.compile(r"(?i)\b(basic|bearer)\s+([A-Za-z0-9+/=_.~-]{8,})")
 _TEXT_PAIR = re.compile(
@@ -127,6 +114,7 @@ def name_words(name: str) -> list[str]:
     return words
 
 
+@lru_cache(65536)
 def is_credential_name(name: str) -> bool:
     """Does a thing with this name hold a credential? Its last word decides."""
     words = name_words(name.rsplit(".", 1)[-1])
@@ -161,7 +149,7 @@ def looks_random(text: str) -> bool:
     return classes >= 2 and entropy(core) > (3.0 if re.fullmatch("[0-9a-fA-F]+", core) else 3.4)
 
 
-_ODD_PIECE = re.compile(r"^.{1,2}$|^[^aeiouy]+$|[bcdfghjklmnpqrstvwxz]*[jkqvxz][bcdfghjklmnpqrstvwxz]{2}|[bcdfghjklmnpqrstvwxz]{2}[jqvxz]|([hijkquvwxy])\\1")
+_ODD_PIECE = re.compile(r"^.{1,2}$|^[^aeiouy]+$|[bcdfghjklmnpqrstvwxz]*[jkqvxz][bcdfghjklmnpqrstvwxz]{2}|[bcdfghjklmnpqrstvwxz]{2}[jqvxz]|([hijkquvwxy])\1")
 _SHORT_WORDS = frozenset("pw pwd api key id db url ssh jwt tls ssl http https my is no of to in on by aws gcp smtp".split())
 
 
@@ -174,28 +162,61 @@ def looks_scrambled(text: str) -> bool:
     return odd >= 2 or odd == 1 and len(pieces) <= 2
 
 
-def is_secret_value(value: str) -> bool:
-    """Could this be a real credential, given that its place is one for credentials?"""
+def is_secret_value(value: str, name: str = "", how: str = "") -> bool:
+    """Could this be a real credential, given that its place is one for credentials?
+
+    With the name it goes to and the way it goes there, words and sentences count as
+    passwords and passphrases where nothing but the value itself can be meant.
+    """
     v = value.strip()
-    if len(v) < 5 or re.search(r"\s", v):
+    if len(v) < 5:
         return False
+    spoken = how in ("=", "call", "default", "pair", "==") and _password_name(name)
+    if re.search(r"\s", v):
+        return spoken and v == value and _PLACEHOLDER.search(v) is None and _spaced_secret(v, name)
     if _PLACEHOLDER.search(v) or _REGEX_LIKE.search(v) or _ENV_NAME.match(v) or _DIGEST.search(v):
         return False
     if _WORDY.match(v):
-        return looks_scrambled(v) or looks_random(v) and bool(re.search(r"[a-z][A-Z]|[A-Z]{2}[a-z]", v)) and len(v) >= 20
+        return (looks_scrambled(v) or looks_random(v) and bool(re.search(r"[a-z][A-Z]|[A-Z]{2}[a-z]", v)) and len(v) >= 20
+                or spoken and re.fullmatch("[a-z]{8,}", v) is not None and not any(w in v for w in _SECRET_WORDS if len(w) > 3))
     if v.isdigit() and len(v) < 8:
         return False
     if "://" in v:
         return False
     if _PATH_LIKE.match(v) and not re.search(r"\d", v):
         return False
-    if _DOTTED.match(v) and not looks_random(v):
+    if _DOTTED.match(v) and not looks_random(v) and not (spoken and re.search(r"\d", v)):
         return False
     if re.match(r"^[\w.]*\(.*\)", v) or v.startswith(("process.env", "System.")):
         return False
     return True
 
 
+def _password_name(name: str) -> bool:
+    words = name_words(name.rsplit(".", 1)[-1])
+    return bool(words) and (words[-1] in _PASSWORD_WORDS or "".join(words[-2:]) in _PASSWORD_WORDS)
+
+
+def _spaced_secret(value: str, name: str) -> bool:
+    """A password with blanks: digits among its words, or the bare words of a passphrase."""
+    words = value.split(" ")
+    if re.search(r"[.:?!]$|[<>{}()]|://", value) or any(not w for w in words):
+        return False
+    if re.search(r"\d", value) and len(value) >= 8:
+        return not re.search(r"(?i)\b(must|enter|please|should|least|characters?|is|of|the|for|your)\b", value)
+    return name_words(name)[-1].endswith("phrase") and len(words) >= 4 and all(re.fullmatch("[a-z]{2,}", w) for w in words)
+
+
+def _strong(value: str) -> bool:
+    """Letters, digits or signs enough for a secret even where other parts of it are unknown."""
+    return "://" not in value and (looks_random(value) or len(value) >= 8 and len(re.findall(r"[A-Z0-9!#$%&*+=^~]", value)) >= 4)
+
+
+@lru_cache(65536)
+def _grants(name: str) -> bool:
+    return not _GRANT_WORDS.isdisjoint(name_words(name)) or "".join(name_words(name)[:2]) in _GRANT_WORDS
+
+
 def _basic_password(encoded: str) -> bool:
     try:
         plain = base64.b64decode(encoded + "=" * (-len(encoded) % 4), validate=True).decode("utf-8")
@@ -205,14 +226,14 @@ def _basic_password(encoded: str) -> bool:
     return bool(colon) and len(password) >= 4 and not _PLACEHOLDER.search(password)
 
 
-def _header_secret(value: str) -> tuple[int, int] | None:
+def _header_secret(value: str, name: str = "", how: str = "") -> tuple[int, int] | None:
     """Span of the secret inside a header value, with or without a scheme before it."""
     scheme = _SCHEME.match(value)
     if scheme:
         word, rest = scheme.group(1).lower(), scheme.group(2)
         ok = _basic_password(rest) if word == "basic" else is_secret_value(rest)
         return scheme.span(2) if ok else None
-    if is_secret_value(value):
+    if is_secret_value(value, name, how):
         at = value.find(value.strip())
         return at, at + len(value.strip())
     return None
@@ -221,225 +242,371 @@ def _header_secret(value: str) -> tuple[int, int] | None:
 _BASE64ISH = re.compile(r"^[A-Za-z0-9+/_-]{6,}={0,2}$")
 
 
+_REGEX_PART = r"""|(?P<regex>/(?![*/])(?:\\[^\n]|\[(?:\\[^\n]|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*)"""
+_LEX_PARTS = r"""\s*(?:(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))%s
+    |(?P<block>\"\"\"(?:\\.|[^\\])*?(?:\"\"\"|\Z))
+    |(?P<string>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')
+    |(?P<tick>`)
+    |(?P<name>[A-Za-z_$][\w$]*)
+    |(?P<number>\d[\w.]*)
+    |(?P<op>\?\?=?|\|\|=?|&&=?|\?\.|=>|[=!]==?|[-+]=|\+\+|--|<=|>=|\S)
+    |(?P<end>\Z))"""
+#: Lexers for the places where a '/' divides and where it opens a regular expression.
+_LEX_DIVIDE = re.compile(_LEX_PARTS % "", re.S | re.X)
+_LEX_REGEX = re.compile(_LEX_PARTS % _REGEX_PART, re.S | re.X)
+_TEMPLATE_TEXT = re.compile(r"(?:\\.|\$(?!\{)|[^`\\$])*", re.S)
+_BEFORE_REGEX = frozenset("return case typeof in of throw delete void do else".split())
+_LITERALS = frozenset(["string", "template", "block"])
+_ASSIGNS = frozenset(["=", "+=", "??=", "||=", "&&="])
+_COMPARES = frozenset(["==", "===", "!=", "!=="])
+_OPENS = {"(": ")", "[": "]", "{": "}"}
+_CLOSES = frozenset(")]}")
+_CONTROL = frozenset("if for while switch catch with synchronized".split())
+
+
 class _Scan:
+    """One text: its tokens, the structure of their brackets, and the findings.
+
+    A token is (kind, start, end, word); word is the text of names, numbers and
+    operators and '' for literals, so that no literal is taken for code. A template
+    with substitutions is a chain of template pieces and expressions joined by '+'.
+    """
+
     def __init__(self, text: str) -> None:
         self.text = text
         self.found: list[Finding] = []
         self.covered: list[tuple[int, int]] = []
-        self.tokens: list[tuple[str, int, int]] = []
-        self.code: list[tuple[str, int, int]] = []
+        self.comments: list[tuple[int, int]] = []
+        self.code: list[tuple[str, int, int, str]] = []
+        self.lines = [m.start() for m in re.finditer("\n", text)]
 
+    # --- tokens -----------------------------------------------------------
     def tokenize(self) -> None:
-        """Fill the tokens.
-
-        A first, cheap pass reads only comments and literals. Names and operators
-        are cut only where one of these is a candidate by its own characters.
-        """
-        text, wanted = self.text, False
-        for m in _QUOTED.finditer(text):
+        text, at, n = self.text, 0, len(self.text)
+        code, value = self.code, False
+        depth: list[int] = []  # open braces inside each substitution of a template
+        close, opened = text.find("*/"), text.find("/*")
+        if 0 <= close and (opened < 0 or close < opened) and "\n" in text[:close] and re.match(r"\s*\*", text):
+            self.comments.append((0, close))  # the text begins inside a comment
+            at = close + 2
+
+        def template(at: int) -> int:
+            end = _TEMPLATE_TEXT.match(text, at).end()
+            code.append(("template", at, end, ""))
+            if text.startswith("${", end):
+                code.append(("op", end, end, "+"))
+                depth.append(0)
+                return end + 2
+            return min(end + 1, n)
+
+        while at < n:
+            m = (_LEX_DIVIDE if value else _LEX_REGEX).match(text, at)
             kind = m.lastgroup
-            if kind == "comment" or kind == "block":
-                self.tokens.append((kind, *m.span()))
-            elif not wanted:
-                value = m.group()[1:-1]
-                wanted = len(value) < 3 or _CANDIDATE.search(value) is not None or any(
-                    looks_scrambled(x) for x in _LETTERS.findall(value)) or _APPENDED.match(text, m.end()) is not None
-        if wanted:
-            self.tokens = [(m.lastgroup, *m.span()) for m in _TOKEN.finditer(text)]
-            self.code = [t for t in self.tokens if t[0] != "comment"]
-        else:
-            self.code = [t for t in self.tokens if t[0] == "block"]
+            a, at = m.start(kind), m.end()
+            if kind == "op":
+                word = text[a:at]
+                if depth and word == "{":
+                    depth[-1] += 1
+                elif depth and word == "}":
+                    if depth[-1] == 0:
+                        depth.pop()
+                        code.append(("op", a, a, "+"))
+                        at = template(at)
+                        value = True
+                        continue
+                    depth[-1] -= 1
+                value = word in (")", "]", "}", "++", "--")
+                code.append((kind, a, at, word))
+            elif kind == "name":
+                word = text[a:at]
+                value = word not in _BEFORE_REGEX
+                code.append((kind, a, at, word))
+            elif kind == "comment":
+                self.comments.append((a, at))
+            elif kind == "string":
+                code.append((kind, a + 1, at - 1, ""))
+                value = True
+            elif kind == "tick":
+                at = template(at)
+                value = not depth or code[-1][0] != "op"
+            elif kind == "block":
+                code.append((kind, a + 3, at - 3 if text.endswith('"""', a + 3, at) else at, ""))
+                value = True
+            elif kind != "end":
+                code.append((kind, a, at, text[a:at] if kind == "number" else ""))
+                value = True
+
+    def structure(self) -> None:
+        """Per token: the bracket around it, its argument number there, and the token that says where its value goes."""
+        n = len(self.code)
+        self.opener, self.arg, self.lead = [-1] * n, [0] * n, [-1] * n
+        self.partner: dict[int, int] = {}
+        self.grants: list[int] = []
+        stack: list[list[int]] = [[-1, 0, -1, 0]]  # bracket, commas, lead, open conditionals
+        for i, (kind, _, _, word) in enumerate(self.code):
+            top = stack[-1]
+            if word in _CLOSES and len(stack) > 1:
+                here = stack.pop()
+                self.partner[here[0]], self.partner[i] = i, here[0]
+                top = stack[-1]
+                if word == "}" and top[0] < 0 | (self.code[top[0]][3] == "{"):
+                    self.opener[i], self.arg[i], self.lead[i] = top[:3]
+                    continue
+            self.opener[i], self.arg[i], self.lead[i] = top[0], top[1], top[2]
+            if kind == "op":
+                if word in _OPENS:
+                    stack.append([i, 0, i, 0])
+                elif word == ",":
+                    top[1] += 1
+                    top[2], top[3] = i, 0
+                elif word == ";":
+                    top[2], top[3] = i, 0
+                elif word in _ASSIGNS or word in _COMPARES or word == "=>":
+                    top[2] = i
+                elif word in ("&&", "<", ">", "<=", ">="):
+                    top[2] = i
+                elif word == "?" and self.word(i + 1) not in (":", ",", ")"):
+                    top[3] += 1
+                elif word == ":":
+                    if top[3]:
+                        top[3] -= 1
+                    else:
+                        top[2] = i
+            elif word in ("return", "case", "throw"):
+                top[2], top[3] = i, 0
+            elif kind == "name" and _grants(word):
+                self.grants.append(i)
 
-    # --- tokens -----------------------------------------------------------
     def word(self, i: int) -> str:
-        if not 0 <= i < len(self.code):
-            return ""
-        _, a, b = self.code[i]
-        return self.text[a:b]
+        return self.code[i][3] if 0 <= i < len(self.code) else ""
 
     def kind(self, i: int) -> str:
         return self.code[i][0] if 0 <= i < len(self.code) else ""
 
-    def inner(self, i: int) -> tuple[int, int]:
-        kind, a, b = self.code[i]
-        if kind == "block":
-            return a + 3, b - 3 if self.text.endswith('"""', a + 3, b) else b
-        closed = b - a >= 2 and self.text[b - 1] == self.text[a]
-        return a + 1, b - 1 if closed else b
-
     def value(self, i: int) -> str:
-        a, b = self.inner(i)
+        _, a, b, _ = self.code[i]
         return self.text[a:b]
 
     def report(self, kind: str, name: str, spans: list[tuple[int, int]], at: int | None = None) -> None:
-        if any(a < y and x < b for a, b in spans for x, y in self.covered):
-            return
-        self.covered += spans
-        line = self.text.count("\n", 0, spans[0][0] if at is None else at) + 1
+        for a, b in spans:
+            k = bisect_left(self.covered, (a, -1))
+            if k < len(self.covered) and self.covered[k][0] < b or k and self.covered[k - 1][1] > a:
+                return
+        for span in spans:
+            insort(self.covered, span)
+        line = bisect_left(self.lines, spans[0][0] if at is None else at) + 1
         self.found.append(Finding(line, kind, name, tuple(spans)))
 
     # --- where a literal goes ----------------------------------------------
-    def left_name(self, i: int) -> str:
-        """Name left of the '=' at token i, over a type annotation if there is one."""
-        j, seen = i - 1, 0
-        if self.word(j) == "]" and self.kind(j - 1) == "string":
-            return self.value(j - 1)
+    def left_name(self, i: int, which: int = 0) -> str:
+        """Name left of the '=' at token i, over a type annotation; `which` picks from a pattern of names."""
+        j = i - 1
+        if self.word(j) == "]":
+            start = self.partner.get(j, -1)
+            if self.kind(j - 1) == "string" and start == j - 2:
+                return self.value(j - 1)
+            if start > 0 and self.kind(start - 1) == "name" and self.word(start - 1) not in ("const", "let", "var") and start + 1 == j:
+                return self.word(start - 1)  # an array declared as `name[] = `
+            names = [k for k in range(start + 1, j) if self.kind(k) == "name" and self.opener[k] == start and self.arg[k] == which]
+            if start >= 0 and names and (self.kind(start - 1) != "name" or self.word(start - 1) in ("const", "let", "var")):
+                return self.word(names[0])
         first = self.word(j) if self.kind(j) == "name" else ""
-        while j >= 0 and seen < 14:
+        while j >= 0:
             w = self.word(j)
-            if w in (";", "{", "}", "(", ",", "=") or w == ")":
+            if w in ("]", "}", ")") and self.partner.get(j, -1) >= 0 and self.opener[self.partner[j]] == self.opener[i]:
+                j = self.partner[j] - 1
+                continue
+            if w in (";", "{", "}", "(", ")", "=", "[") or w == "," and not first:
                 break
             if w == ":" and self.kind(j - 1) == "name":
                 return self.word(j - 1)
             if w == ":" and self.word(j - 1) == "?":
                 return self.word(j - 2)
-            j, seen = j - 1, seen + 1
-        if not first and self.word(i - 1) == "]":
-            j = i - 1
-            while j > 0 and self.kind(j) != "name":
-                j -= 1
-            return self.word(j)
+            if not first and self.kind(j) == "name" and self.word(j + 1) in ("[", "="):
+                first = w
+            if w == ",":
+                break
+            j -= 1
         return first
 
-    def open_paren(self, i: int) -> tuple[int, int]:
-        """Index of the '(' around token i and the number of the argument there; -1 if none."""
-        depth = commas = 0
-        for j in range(i - 1, max(-1, i - 200), -1):
-            w = self.word(j) if self.kind(j) == "op" else ""
-            if w in (")", "]", "}"):
-                depth += 1
-            elif w in ("(", "[", "{"):
-                if depth == 0:
-                    return (j, commas) if w == "(" else (-1, 0)
-                depth -= 1
-            elif w == "," and depth == 0:
-                commas += 1
-            elif w == ";" and depth == 0:
-                return -1, 0
-        return -1, 0
-
     def chain_start(self, i: int) -> int:
         """First token of the call chain whose last name is token i."""
         j = i
         while j > 0:
-            if self.word(j - 1) in (".", "?.") or self.word(j - 1) == "new":
-                j -= 2 if self.word(j - 1) != "new" else 1
-                while self.word(j) in (")", "]"):
-                    depth = 0
-                    while j >= 0:
-                        w = self.word(j)
-                        depth += w in (")", "]")
-                        depth -= w in ("(", "[")
-                        j -= 1
-                        if depth == 0:
-                            break
+            if self.word(j - 1) == "new":
+                j -= 1
+            elif self.word(j - 1) in (".", "?."):
+                j -= 2
+                while self.word(j) in (")", "]") and self.partner.get(j, -1) > 0:
+                    j = self.partner[j] - 1
             else:
                 break
-        return j
-
-    def target(self, i: int, hops: int = 0) -> str:
-        """Name of what receives the value at token i; '' if nothing with a name does."""
-        j = i - 1
-        w = self.word(j)
-        if hops > 6 or j < 0:
-            return ""
-        if w in ("=", "==", "===", "!=", "!==", "+="):
-            return self.left_name(j)
-        if w == ":":
-            k = j - 1
-            if self.kind(k) == "string":
-                return self.value(k)
-            return self.word(k) if self.kind(k) == "name" else ""
-        if w in ("??", "||", "+", "?"):
-            for k in range(j - 1, max(-1, j - 60), -1):
-                x = self.word(k) if self.kind(k) == "op" else ""
-                if x in ("=", ":"):
-                    return self.target(k + 1, hops + 1)
-                if x in (";", "{", "}"):
-                    return ""
-                if x in ("(", ",") and self.open_paren(j)[0] == k:
-                    return self.target(k + 1, hops + 1)
-            return ""
-        if w == "return":
-            return self.function_name(j)
-        if w in ("(", ","):
-            k, arg = self.open_paren(i)
-            if k < 1 or self.kind(k - 1) != "name":
-                return ""
+        return max(j, 0)
+
+    def sibling(self, i: int, which: int) -> int:
+        """First token of argument `which` of the call around token i."""
+        k = self.opener[i] + 1
+        while k < i and self.arg[k] != which:
+            k = self.partner.get(k, k) + 1 if self.word(k) in _OPENS else k + 1
+        return k
+
+    def target(self, i: int) -> tuple[str, str]:
+        """(name, how) of what receives the value at token i; '' if nothing with a name does."""
+        which = 0
+        while True:
+            k, prev = self.lead[i], self.word(i - 1)
+            if prev in ("??", "||") and self.kind(i - 2) in ("name", "string"):
+                named = self.word(i - 2) or self.value(i - 2)
+                if is_credential_name(named):
+                    return named, "default"
+            w = self.word(k)
+            if k < 0:
+                return "", ""
+            if w in _ASSIGNS:
+                return self.left_name(k, which), "="
+            if w in _COMPARES:
+                return (self.word(k - 1) if self.kind(k - 1) == "name" else ""), "=="
+            if w == ":":
+                if self.kind(k - 1) == "string":
+                    return self.value(k - 1), ":"
+                if self.word(k - 1) == "?":
+                    return self.word(k - 2), ":"
+                return (self.word(k - 1) if self.kind(k - 1) == "name" else ""), ":"
+            if w == "return":
+                return self.function_name(k), "return"
+            if w == "=>":
+                j = k - 1
+                if self.word(j) == ")":
+                    j = self.partner.get(j, 0)
+                j -= self.word(j - 1) == "async"
+                return (self.left_name(j - 1), "return") if self.word(j - 1) == "=" else ("", "")
+            if w not in ("(", "[", "{", ","):
+                return "", ""
+            k, arg = self.opener[i], self.arg[i]
+            if k < 0:
+                return "", ""
+            if self.word(k) in ("[", "{"):
+                if self.word(k) == "{" and w != "{" and w != ",":
+                    return "", ""
+                before = self.word(k - 1)
+                if before in _ASSIGNS or before in (":", "(", ",", "??", "||", "]", "?", "return", "[", "{"):
+                    which = arg
+                    if before == "]":  # new byte[] {...}
+                        j = self.partner.get(k - 1, 0)
+                        i = j - 2 if self.word(j - 2) == "new" else k
+                    else:
+                        i = k
+                    continue
+                return "", ""
+            if self.kind(k - 1) != "name":
+                if self.word(k - 1) in (")", "]", "}", ">") or arg:
+                    return "", ""
+                i = k  # a parenthesis
+                continue
             callee = self.word(k - 1)
-            if _DECODERS.search(callee) and arg == 0:
-                return self.target(self.chain_start(k - 1), hops + 1)
+            first = self.sibling(i, 0)
+            if _DECODERS.search(callee) and (arg == 0 or callee in ("of", "fromCharCode")):
+                i = self.chain_start(k - 1)
+                continue
             if _DEFAULTING.search(callee) and arg == 1:
-                return self.target(self.chain_start(k - 1), hops + 1)
-            if arg == 0 and callee in ("equals", "equalsIgnoreCase", "contentEquals") and self.word(k - 2) == ".":
-                return self.word(k - 3)
+                if self.kind(first) == "string" and is_credential_name(self.value(first)):
+                    return self.value(first), "default"
+                i = self.chain_start(k - 1)
+                continue
+            if arg == 0 and callee in ("equals", "equalsIgnoreCase", "contentEquals", "is", "eq") and self.word(k - 2) == ".":
+                return self.word(k - 3), "=="
             if arg == 0 and is_credential_name(callee) and self.word(k - 2) != "new":
-                return callee
-            if arg >= 1 and _PAIR_SETTERS.search(callee) and self.kind(k + 1) == "string":
-                return self.value(k + 1)
+                return callee, "call"
+            if arg >= 1 and _PAIR_SETTERS.search(callee) and self.kind(first) == "string":
+                return self.value(first), "pair"
             if arg >= 1 and _LOGIN.search(callee) and self.word(i + 1) in (")", ",", "+"):
-                return "password"
-            return ""
-        if w in ("{", "["):
-            if self.word(j - 1) in ("=", ":") or self.word(j - 1) == "]":
-                return self.target(j, hops + 1)
-            return ""
-        return ""
+                return "password", "call"
+            return "", ""
 
     def function_name(self, i: int) -> str:
-        """Name of the function whose first statement is the return at token i."""
-        j = i - 1
-        if self.word(j) == "=>":
-            return ""
-        if self.word(j) != "{":
-            return ""
-        while j > 0 and self.word(j) != ")" and i - j < 8:
-            j -= 1
-        depth = 0
-        while j > 0:
-            depth += self.word(j) == ")"
-            depth -= self.word(j) == "("
-            j -= 1
-            if depth == 0:
-                break
-        return self.word(j) if self.kind(j) == "name" else ""
+        """Name of the function around the return at token i."""
+        brace = self.opener[i]
+        while brace > 0 and self.word(brace) == "{":
+            j = brace - 1
+            while j > 0 and self.word(j) not in (")", ";", "{", "}", "=>"):
+                j -= 1
+            if self.word(j) == "=>":
+                k = self.partner.get(j - 1, j - 1) if self.word(j - 1) == ")" else j - 1
+                k -= self.word(k - 1) == "async"
+                return self.left_name(k - 1) if self.word(k - 1) == "=" else ""
+            if self.word(j) != ")":
+                if self.word(brace - 1) in ("else", "try", "do", "finally"):
+                    brace = self.opener[brace]
+                    continue
+                return ""
+            k = self.partner.get(j, -1)
+            callee = self.word(k - 1)
+            if callee not in _CONTROL:
+                return callee if self.kind(k - 1) == "name" else ""
+            brace = self.opener[brace]
+        return ""
+
+    def admits(self, i: int) -> bool:
+        """Does the condition around token i open the way to a branch that grants access?"""
+        k = self.opener[i]
+        while k > 0 and self.word(k) == "(":
+            if self.word(k - 1) == "if":
+                start = self.partner.get(k, -1) + 1
+                stop = self.partner.get(start, start + 4) if self.word(start) == "{" else start + 4
+                at = bisect_left(self.grants, start)
+                return 0 < start and at < len(self.grants) and self.grants[at] < stop
+            k = self.opener[k]
+        return False
 
     # --- literals -----------------------------------------------------------
-    def joined(self, i: int) -> tuple[str, list[tuple[int, int]], int]:
-        """Value of the literal at token i with all that '+' appends to it; spans; next token."""
-        spans, parts, j = [self.inner(i)], [self.value(i)], i + 1
-        while self.word(j) == "+" and self.kind(j + 1) == "string":
-            spans.append(self.inner(j + 1))
-            parts.append(self.value(j + 1))
-            j += 2
-        return "".join(parts), spans, j
+    def joined(self, i: int) -> tuple[str, list[tuple[int, int]], int, bool]:
+        """Value of the literal at token i with what '+' appends to it; spans; next token; are parts unknown?"""
+        parts, spans, hole, j = [self.value(i)], [self.code[i][1:3]], False, i + 1
+        while self.word(j) == "+":
+            k = j + 1
+            if self.kind(k) in _LITERALS:
+                parts.append(self.value(k))
+                spans.append(self.code[k][1:3])
+                j = k + 1
+            elif self.kind(k) == "number":
+                parts.append(self.word(k))
+                j = k + 1
+            else:
+                # an expression up to the next '+' of this level
+                end = k
+                while end < len(self.code) and self.opener[end] == self.opener[j] and self.word(end) not in ("+", ";", ",", ":", "?"):
+                    if self.word(end) in _CLOSES and end not in self.partner:
+                        break
+                    end = self.partner.get(end, end) + 1 if self.word(end) in _OPENS else end + 1
+                hole = True
+                if self.word(end) != "+" or end <= j:
+                    return "".join(parts), spans, max(k, j + 1), hole
+                j = end
+        return "".join(parts), [s for s in spans if s[1] > s[0]] or spans, j, hole
 
     def literal(self, i: int) -> int:
-        value, spans, after = self.joined(i)
-        if len(value) < 5:
-            return after
-        if len(spans) > 1 and _PREFIXED.search(value) and not _PLACEHOLDER.search(value):
-            self.report("token", self.target(i), spans)
+        value, spans, after, hole = self.joined(i)
+        if len(value) < 5 or "-----BEGIN" in value:
             return after
-        if self.text.startswith("-----BEGIN", spans[0][0]) or "-----BEGIN" in value:
+        if len(spans) > 1 and not hole and _PREFIXED.search(value) and not _PLACEHOLDER.search(value):
+            self.report("token", self.target(i)[0], spans)
             return after
         scheme = _SCHEME.match(value)
-        name = ""
-        if scheme or is_secret_value(value):
-            name = self.target(i)
-            named = is_credential_name(name)
-            bare_key = name_words(name) in (["key"], ["keys"]) and looks_random(value)
-            if named or bare_key:
-                hit = _header_secret(value)
-                if hit and not self._looked_up(name, value):
-                    a, b = spans[0]
-                    got = [(a + hit[0], a + hit[1])] if len(spans) == 1 else spans
-                    self.report("assigned", name, got)
-                    return after
-            elif scheme and scheme.group(1).lower() == "basic" and _basic_password(scheme.group(2)):
-                a = spans[0][0]
-                self.report("header", name, [(a + scheme.start(2), a + scheme.end(2))])
-                return after
+        name, how = self.target(i)
+        if not name and self.word(after) == "." and self.word(after + 1) in ("equals", "equalsIgnoreCase") and self.kind(after + 3) == "name":
+            name, how = self.word(after + 3), "=="
+        elif self.word(after) in _COMPARES and self.kind(after + 1) == "name" and how != "==":
+            name, how = self.word(after + 1), "=="
+        if is_credential_name(name) or name_words(name) in (["key"], ["keys"]) and looks_random(value):
+            hit = _header_secret(value, name, how)
+            if hit and (not hole or _strong(value)) and not self._looked_up(name, value):
+                a, b = spans[0]
+                self.report("assigned", name, [(a + hit[0], a + hit[1])] if len(spans) == 1 else spans)
+        elif scheme and scheme.group(1).lower() == "basic" and _basic_password(scheme.group(2)):
+            a = spans[0][0]
+            self.report("header", name, [(a + scheme.start(2), a + scheme.end(2))] if len(spans) == 1 else spans)
+        elif how == "==" and _password_like(value) and is_secret_value(value) and self.admits(i):
+            self.report("compared", name, spans)
         return after
 
     @staticmethod
@@ -451,40 +618,69 @@ class _Scan:
         """An array of single characters that spells a value."""
         j, spans = i, []
         while self.kind(j) == "string" and len(self.value(j)) in (1, 2):
-            spans.append(self.inner(j))
+            spans.append(self.code[j][1:3])
             if self.word(j + 1) != ",":
                 j += 1
                 break
             j += 2
         value = "".join(self.text[a:b] for a, b in spans)
-        if len(spans) >= 6 and is_credential_name(self.target(i)) and not _PLACEHOLDER.search(value):
-            self.report("characters", self.target(i), spans)
+        if len(spans) >= 6 and is_credential_name(self.target(i)[0]) and not _PLACEHOLDER.search(value):
+            self.report("characters", self.target(i)[0], spans)
+        return max(j, i + 1)
+
+    def numbers(self, i: int) -> int:
+        """A list of character codes or bytes."""
+        j, spans, codes = i, [], []
+        opener = self.opener[i]
+        while j < len(self.code) and self.opener[j] == opener and self.word(j) not in _CLOSES:
+            kind, a, b, word = self.code[j]
+            if kind == "number":
+                try:
+                    codes.append(int(word.rstrip("lL"), 0) % 256 if int(word.rstrip("lL"), 0) < 256 else -1)
+                except ValueError:
+                    codes.append(-1)
+                spans.append((a, b))
+            elif word == "(" and self.word(j + 1) in ("byte", "char"):
+                j = self.partner.get(j, j)
+            elif word not in (",", "-"):
+                return j
+            j += 1
+        if len(codes) >= 6 and min(codes) >= 0 and len(set(codes)) >= 4 and any(codes[k + 1] - codes[k] not in (0, 1) for k in range(len(codes) - 1)):
+            name = self.target(i)[0]
+            if is_credential_name(name) and (len(codes) >= 8 or all(32 <= c < 127 for c in codes)):
+                self.report("numbers", name, spans)
         return max(j, i + 1)
 
     # --- text inside strings and comments ------------------------------------
-    def shapes(self) -> None:
-        """Values that show what they are wherever they stand."""
+    def key_blocks(self, parts: list[tuple[int, int]]) -> None:
+        """Private keys: from the opening line over one or several literals to the closing line."""
+        if "PRIVATE KEY" not in self.text:
+            return
         for m in _PEM.finditer(self.text):
             end = _PEM_END.search(self.text, m.end())
             # without its end, a block goes to the end of its base64 run
-            stop = end.start() if end else max(min(len(self.text), m.end() + 4000), _KEY_RUN.match(self.text, m.end()).end())
-            body = [(x.start() + m.end(), x.end() + m.end())
-                    for x in re.finditer(r"(?<![\\A-Za-z0-9+/=])[A-Za-z0-9+/=]{8,}|(?<=\\n)[A-Za-z0-9+/=]{8,}",
-                                         self.text[m.end():stop])]
+            stop = end.start() if end else _KEY_RUN.match(self.text, m.end()).end()
+            body = [(x.start() + m.end(), x.end() + m.end()) for x in _KEY_LINE.finditer(self.text[m.end():stop])]
             if body and not re.search(r"(?i)x{12,}|\.{3}|your", self.text[m.end():stop]):
                 self.report("private key", "", body, m.start())
-        for m in _PREFIXED.finditer(self.text):
+
+    def shapes(self, a: int, b: int) -> None:
+        """Values inside a literal or a comment that show what they are."""
+        part = self.text[a:b]
+        for m in _PREFIXED.finditer(part):
             if not _PLACEHOLDER.search(m.group()):
-                self.report("token", "", [m.span()])
-        for m in _URL_USER.finditer(self.text):
+                self.report("token", "", [(a + m.start(), a + m.end())])
+        if "://" not in part:
+            return
+        for m in _URL_USER.finditer(part):
             if not _PLACEHOLDER.search(m.group(2)) and not re.fullmatch(r"[*x.<>-]+|pass(word)?|pwd|secret", m.group(2), re.I):
-                self.report("url", m.group(1), [m.span(2)])
-        for m in _URL_PARAM.finditer(self.text):
-            param = m.group(1)
-            named = is_credential_name(param) or param.lower() in ("sig", "signature", "key", "apikey", "access_key", "code")
-            if named and is_secret_value(m.group(2)) and (is_credential_name(param) or looks_random(m.group(2))):
-                if "://" in self.text[max(0, m.start() - 200):m.start()].rsplit("\n", 1)[-1]:
-                    self.report("url parameter", param, [m.span(2)])
+                self.report("url", m.group(1), [(a + m.start(2), a + m.end(2))])
+        for url in _URL.finditer(part):
+            for m in _URL_PARAM.finditer(part, *url.span()):
+                param = m.group(1)
+                named = is_credential_name(param) or param.lower() in ("sig", "signature", "key", "apikey", "access_key", "code")
+                if named and is_secret_value(m.group(2)) and (is_credential_name(param) or looks_random(m.group(2))):
+                    self.report("url parameter", param, [(a + m.start(2), a + m.end(2))])
 
     def prose(self, a: int, b: int, comment: bool) -> None:
         """Name-value pairs in a comment or in embedded text."""
@@ -506,6 +702,10 @@ class _Scan:
             if m.group(2) and m.group(2).lower() == "basic" and not _basic_password(value):
                 continue
             self.report("text", name, [(a + low, a + high)])
+        for m in _MARKUP.finditer(part) if hinted and "<" in part else ():
+            group = 2 if m.group(1) else 4
+            if is_credential_name(m.group(group - 1)) and is_secret_value(m.group(group)):
+                self.report("text", m.group(group - 1), [(a + m.start(group), a + m.end(group))])
         for m in _SCHEME_IN_TEXT.finditer(part) if hinted else ():
             ok = _basic_password(m.group(2)) if m.group(1).lower() == "basic" else looks_random(m.group(2))
             if ok:
@@ -522,24 +722,31 @@ class _Scan:
                     self.report("spoken", "", [(a + m.start(1), a + m.start(1) + len(value))])
 
     def run(self) -> list[Finding]:
-        self.shapes()
         self.tokenize()
-        for kind, a, b in self.tokens:
-            if kind == "comment":
-                self.prose(a, b, True)
+        self.structure()
+        literals = [(a, b) for kind, a, b, _ in self.code if kind in _LITERALS]
+        self.key_blocks(literals)
+        for a, b in self.comments + literals:
+            if b - a >= 8:
+                self.shapes(a, b)
+        for a, b in self.comments:
+            self.prose(a, b, True)
         i, n = 0, len(self.code)
         while i < n:
-            kind = self.code[i][0]
-            if kind in ("string", "template", "block"):
-                if kind == "string" and len(self.value(i)) <= 2 and self.word(i - 1) in ("{", "[", "("):
+            kind, a, b, _ = self.code[i]
+            if kind in _LITERALS:
+                if kind == "string" and b - a <= 2 and self.word(i - 1) in ("{", "[", "("):
                     i = self.characters(i)
                     continue
                 after = self.literal(i) if kind != "block" else i + 1
-                a, b = self.inner(i)
-                if b - a > 8:
-                    self.prose(a, b, False)
+                for k in range(i, max(after, i + 1)):
+                    if self.kind(k) in _LITERALS and self.code[k][2] - self.code[k][1] > 8:
+                        self.prose(*self.code[k][1:3], False)
                 i = max(after, i + 1)
                 continue
+            if self.code[i][3] in _OPENS and (self.kind(i + 1) == "number" or self.word(i + 1) == "-" or self.word(i + 2) in ("byte", "char")):
+                i = self.numbers(i + 1)
+                continue
             i += 1
         return sorted(self.found)
 
@@ -560,12 +767,20 @@ _ESCAPE = re.compile(r"\\(?:u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2}|[0-7]{1,3}|\r?\n|.)|
 
 
 def redact(text: str | None, findings: list[Finding], mask: str = "*") -> str | None:
-    """The text with every found value overwritten; escapes and line ends inside a value stay."""
+    """The text with every found value overwritten; escapes and line ends inside a value stay.
+
+    The digits of a list of numbers become 0, so that the list stays one of numbers.
+    """
     if not text or not findings:
         return text
     out, at = [], 0
-    for a, b in sorted(s for f in findings for s in f.spans):
+    for a, b, numeric in sorted((*s, f.kind == "numbers") for f in findings for s in f.spans):
         out.append(text[at:a])
+        if numeric:
+            head = 2 if text[a:a + 2].lower() in ("0x", "0b") else 0
+            out += [text[a:a + head], "0" * (b - a - head)]
+            at = b
+            continue
         pos = a
         for m in _ESCAPE.finditer(text, a, b):
             out += [mask * (m.start() - pos), m.group()]
@@ -575,10 +790,6 @@ def redact(text: str | None, findings: list[Finding], mask: str = "*") -> str |
     out.append(text[at:])
     return "".join(out)
 
-
-_SCAN_SCHEMA = "_row struct<id:string,at:timestamp_ntz>, lines array<int>, kinds array<string>, names array<string>, redacted string"
-
-
 def scan_chunks(chunks: DataFrame, id_col: str = "id", text_col: str = "content", at_col: str = "ingested_at",
                 with_text: bool = True) -> DataFrame:
     """Findings of the newest version of each text.

@@ -95,3 +95,61 @@ def test_long_values_and_cut_key_blocks():
     text = "-----BEGIN RSA PRIVATE " + "KEY-----\n" + "\n".join(body)
     hidden = redact(text, find_credentials(text))
     assert not any(line in hidden for line in body)
+
+
+COMPARED = 'if (given === "Maple!2214") {\n  granted = true;\n}'
+MORE_FOUND = [
+    (COMPARED, 1),
+    ('boolean ok() {\n  if (given.equals("maple-fox-77")) {\n    this.loggedIn = true;\n  }\n}', 2),
+    ("const key9 = process.env.FLEET_TOKEN ?? 'Maple!2214';", 1),
+    ('const re = /["]/; const apiKey = "' + KEY + '";', 1),
+    ("x.replace(/'/g, ''); const apiKey = '" + KEY + "';", 1),
+    ("const secret = `pre9-${env}-" + KEY + "`;", 1),
+    ('String password = "correcthorse";', 1),
+    ('String passphrase = "correct horse battery staple";', 1),
+    ('const password = "maple fox 77";', 1),
+    ("byte[] secret = {(byte) 0x9f, 12, 77, -4, 35, 101, 8, 90};", 1),
+    ("const password = String.fromCharCode(77, 97, 112, 108, 101, 55, 55);", 1),
+    ('String t = """\n  <property name="password" value="maple_1990"/>\n  """;', 2),
+    ("const t = `<password>maple_1990</password>`;", 1),
+    ('client.setCredentials("joe", "maple-fox-77");', 1),
+    ('const [user, password] = ["joe", "maple-fox-77"];', 1),
+    ('String pass = "my-pass.word9";', 1),
+    ("const getToken = () => '" + KEY + "';", 1),
+    ('if ("maple-fox-77".equals(password)) {', 1),
+    ("/* */ const a = { b: { token: ['" + KEY + "'] } };", 1),
+]
+
+
+@pytest.mark.parametrize(("text", "line"), MORE_FOUND)
+def test_found_by_flow(text, line):
+    assert [f.line_no for f in find_credentials(text)] == [line]
+    hidden = redact(text, find_credentials(text))
+    assert len(hidden) == len(text) and find_credentials(hidden) == []
+
+
+@pytest.mark.parametrize("text", [
+    'if (mode === "utf-8x") {\n  decoded = true;\n}', "const password = t('form.password.label');", '{ password: "required" }',
+    "const a = b / c; const token = d / e;", 'const passwordHint = "correcthorse";', "const key = [1, 2, 3, 4, 5, 6, 7, 8];",
+    'const token = "Bearer " + read();', "const token = `${prefix}-${id}`;", "<label>Don't share</label>", 'String secret = "x" + next();',
+])
+def test_clean_by_flow(text):
+    assert find_credentials(text) == []
+
+
+def test_short_lines_of_a_key_and_parts_around_numbers_are_hidden():
+    text = 'k = "-----BEGIN RSA PRIVATE ' + 'KEY-----\\nMIIEowIBAAKCAQEA7v2xkq\\nabc+d==\\n-----END RSA PRIVATE KEY-----"; password = "hun" + 7 + "ter22!";'
+    hidden = redact(text, find_credentials(text))
+    assert "abc+d" not in hidden and "hun" not in hidden and "ter22" not in hidden and hidden.count("\\n") == text.count("\\n")
+
+
+def test_many_findings_take_linear_time():
+    import time
+
+    spent = []
+    for n in (4_000, 16_000):
+        text = "\n".join(f'const apiKey{i} = "{KEY}{i}";' for i in range(n))
+        began = time.process_time()
+        assert len(find_credentials(text)) == n
+        spent.append(time.process_time() - began)
+    assert spent[1] < 8 * spent[0] + 0.5
