@@ -22,9 +22,15 @@ _PIECE = re.compile(r"\s*(?:'([^']+)'|(\$\w+)|(\w+)|([()|*+?;=]))")
 
 #: Zero-width terminal: an omitted semicolon, allowed before '}', at the end, or after a line end.
 ASI = "<asi>"
+#: Zero-width terminal: the next token stands on the same line.
+JOIN = "<join>"
 EOF = "EOF"
 
 
+def _is_call(symbol: str) -> bool:
+    return symbol[0] == "@" and len(symbol) > 1
+
+
 class _Nfa:
     def __init__(self) -> None:
         self.moves: list[list[tuple[str | None, int]]] = []
@@ -85,7 +91,7 @@ class Grammar:
                 elif kind == "t":
                     item = ("sym", value)
                 elif kind == "c":
-                    item = ("alt", [("sym", t) for t in self.classes[value[1:]]])
+                    item = ("any", self.classes[value[1:]])
                 elif kind == "n":
                     item = ("sym", "@" + value)
                 else:
@@ -112,6 +118,10 @@ class Grammar:
             end = nfa.state()
             nfa.moves[start].append((node[1], end))
             return end
+        if kind == "any":
+            end = nfa.state()
+            nfa.moves[start] += [(t, end) for t in node[1]]
+            return end
         if kind == "seq":
             for item in node[1]:
                 start = self._thompson(item, nfa, start)
@@ -187,99 +197,96 @@ class Grammar:
         self._sets()
 
     def _sets(self) -> None:
-        self.first: dict[str, set[str]] = {n: set() for n in self.rules}
+        """First sets of nonterminals and states, follow sets of nonterminals, as bit masks of terminals."""
+        marks = sorted({s for m in self.moves for s in m if not _is_call(s)})
+        bit = {t: 1 << i for i, t in enumerate(marks)}
+        hidden = {n: sum(bit.get(t, 0) for t in ts) for n, ts in self.forbidden.items()}
+        self.first = dict.fromkeys(self.rules, 0)
         changed = True
         while changed:
             changed = False
             for name, state in self.entry.items():
-                found = set()
-                for sym in self.moves[state]:
-                    found |= self.first[sym[1:]] if sym[0] == "@" and len(sym) > 1 else {sym}
-                found -= self.forbidden.get(name, set())
-                if not found <= self.first[name]:
-                    self.first[name] |= found
+                found = self._starts(state, bit) & ~hidden.get(name, 0)
+                if found != self.first[name]:
+                    self.first[name] = found
                     changed = True
-        self.follow: dict[str, set[str]] = {n: set() for n in self.rules}
-        starts = [self._starts(s) for s in range(len(self.moves))]
+        starts = [self._starts(s, bit) for s in range(len(self.moves))]
+        self.follow = dict.fromkeys(self.rules, 0)
+        calls = [(self.owner[state], sym[1:], to) for state, moves in enumerate(self.moves) for sym, to in moves.items() if _is_call(sym)]
         changed = True
         while changed:
             changed = False
-            for state, moves in enumerate(self.moves):
-                for sym, to in moves.items():
-                    if sym[0] == "@" and len(sym) > 1:
-                        found = starts[to] | (self.follow[self.owner[state]] if self.accepts[to] else set())
-                        if not found <= self.follow[sym[1:]]:
-                            self.follow[sym[1:]] |= found
-                            changed = True
-        terminals = {s for m in self.moves for s in m if s[0] != "@" or len(s) == 1} - {ASI}
-        self.kinds = {k: i for i, k in enumerate(sorted(terminals))}
-        # Columns: two for each kind, the second for a token after a line end.
-        self.table: list[dict[int, tuple]] = []
-        for state, moves in enumerate(self.moves):
-            row: dict[int, tuple] = {}
-            for kind, k in self.kinds.items():
-                for newline in (0, 1):
-                    can_omit = newline or kind in ("}", EOF)
-                    acts = self._actions(state, moves, kind, bool(can_omit))
-                    if acts:
-                        row[2 * k + newline] = acts
-            self.table.append(row)
-        self._chains()
-
-    def _starts(self, state: int) -> set[str]:
-        found: set[str] = set()
+            for owner, callee, to in calls:
+                found = self.follow[callee] | starts[to] | (self.follow[owner] if self.accepts[to] else 0)
+                if found != self.follow[callee]:
+                    self.follow[callee] = found
+                    changed = True
+        self.bit = bit
+        # Columns: two for each kind, the second for a token after a line end. Cells are computed when they are first met.
+        terminals = [t for t in marks if t not in (ASI, JOIN)]
+        self.kinds = {k: i for i, k in enumerate(terminals)}
+        self.terminals = terminals
+        self.table: list[dict[int, tuple]] = [{} for _ in self.moves]
+        self.step: list[dict[int, tuple | int | bool | None]] = [{} for _ in self.moves]
+
+    def _starts(self, state: int, bit: dict[str, int]) -> int:
+        found = 0
         for sym in self.moves[state]:
-            found |= self.first[sym[1:]] if sym[0] == "@" and len(sym) > 1 else {sym}
+            found |= self.first[sym[1:]] if _is_call(sym) else bit[sym]
         return found
 
-    def _actions(self, state: int, moves: dict[str, int], kind: str, can_omit: bool) -> tuple:
-        acts = []
-        for sym, to in moves.items():
+    def actions(self, state: int, col: int) -> tuple:
+        """What a state can do before the token of a column."""
+        acts = self.table[state].get(col)
+        if acts is not None:
+            return acts
+        kind, newline = self.terminals[col >> 1], col & 1
+        can_omit = bool(newline) or kind in ("}", EOF)
+        reach = self.bit[kind] | (self.bit.get(ASI, 0) if can_omit else 0) | (0 if newline else self.bit.get(JOIN, 0))
+        found = []
+        for sym, to in self.moves[state].items():
             if sym == ASI:
                 if can_omit:
-                    acts.append(("go", to, -1))
-            elif sym[0] == "@" and len(sym) > 1:
-                if kind in self.first[sym[1:]]:
-                    acts.append(("call", self.entry[sym[1:]], to))
+                    found.append(("go", to, -1))
+            elif sym == JOIN:
+                if not newline:
+                    found.append(("go", to, -1))
+            elif _is_call(sym):
+                if self.first[sym[1:]] & reach:
+                    found.append(("call", self.entry[sym[1:]], to))
             elif sym == kind:
-                acts.append(("shift", to, -1))
-        follow = self.follow[self.owner[state]]
-        if self.accepts[state] and (kind in follow or (can_omit and ASI in follow)):
-            acts.append(("pop", -1, -1))
-        return tuple(acts)
+                found.append(("shift", to, -1))
+        if self.accepts[state] and self.follow[self.owner[state]] & reach:
+            found.append(("pop", -1, -1))
+        self.table[state][col] = acts = tuple(found)
+        return acts
 
-    def _chains(self) -> None:
-        """For each state and column with one choice only: calls up to the shift, as one step.
+    def _chain(self, state: int, col: int) -> tuple | int | bool | None:
+        """Calls up to the shift as one step, as long as there is one choice only.
 
-        Steps: (returns, state, shifted); a pop is the bare value None, several choices are False.
+        (returns, state, shifted); a pop is None, several choices are False, no choice is 0.
         """
-        self.step: list[dict[int, tuple | bool | None]] = []
-        for state in range(len(self.table)):
-            row: dict[int, tuple | bool | None] = {}
-            for col, acts in self.table[state].items():
-                returns: list[int] = []
-                at, kind, result = state, "", None
-                while True:
-                    now = self.table[at].get(col)
-                    if not now or len(now) > 1:
-                        result = False if not returns and at == state else (tuple(returns), at, False)
-                        break
-                    kind, to, back = now[0]
-                    if kind == "shift":
-                        result = (tuple(returns), to, True)
-                        break
-                    if kind == "pop":
-                        result = None if not returns and at == state else (tuple(returns), at, False)
-                        break
-                    if kind == "go":
-                        at = to
-                    else:
-                        returns.append(back)
-                        at = to
-                    if len(returns) > 200:
-                        raise ValueError("grammar: left recursion without a choice")
-                row[col] = result
-            self.step.append(row)
+        returns: list[int] = []
+        at = state
+        while True:
+            now = self.actions(at, col)
+            if len(now) != 1:
+                result = (0 if not now else False) if not returns and at == state else (tuple(returns), at, False)
+                break
+            kind, to, back = now[0]
+            if kind == "shift":
+                result = (tuple(returns), to, True)
+                break
+            if kind == "pop":
+                result = None if not returns and at == state else (tuple(returns), at, False)
+                break
+            if kind == "call":
+                returns.append(back)
+            at = to
+            if len(returns) > 200:
+                raise ValueError("grammar: left recursion without a choice")
+        self.step[state][col] = result
+        return result
 
     # --- recognition ------------------------------------------------------------
     def columns(self, tokens: Iterable[tuple[str, bool]]) -> list[int]:
@@ -299,7 +306,9 @@ class Grammar:
                 state, node = live[0]
                 single = True
                 while True:
-                    what = step[state].get(col, 0)
+                    what = step[state].get(col, -1)
+                    if what == -1:
+                        what = self._chain(state, col)
                     if what is None:
                         if len(node) != 1:
                             single = False
@@ -327,7 +336,8 @@ class Grammar:
             after: dict[tuple[int, int], tuple[int, list]] = {}
             while work:
                 state, node = work.pop()
-                for kind, to, back in table[state].get(col, ()):
+                acts = table[state].get(col)
+                for kind, to, back in acts if acts is not None else self.actions(state, col):
                     if kind == "shift":
                         after[to, id(node)] = (to, node)
                         continue

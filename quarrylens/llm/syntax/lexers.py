@@ -26,26 +26,11 @@ _JAVA_TOKEN = re.compile(
     re.X,
 )
 _NON_SEALED = re.compile(r"-sealed\b")
+_BAD_OCTAL = re.compile(r"0[\d_]*[89][\d_]*[lL]?$")
+_JAVA_MODIFIERS = frozenset("public protected private static final abstract native synchronized transient volatile strictfp".split())
 _JAVA_WORDS = frozenset(JAVA_RESERVED) | frozenset(JAVA_CONTEXTUAL)
 
 
-def _classify(kinds: list[str], arrow: str) -> None:
-    """Tell apart parentheses and names before an arrow, in place."""
-    stack: list[int] = []
-    last = len(kinds) - 1
-    for i, k in enumerate(kinds):
-        if k == "(":
-            stack.append(i)
-        elif k == ")":
-            if stack:
-                after = kinds[i + 1] if i < last else ""
-                if after == arrow:
-                    kinds[stack[-1]] = "(A"
-                elif after == ":":
-                    kinds[stack[-1]] = "(M"
-                stack.pop()
-
-
 def lex_java(text: str) -> Tokens | None:
     kinds: list[str] = []
     at, n = 0, len(text)
@@ -64,17 +49,15 @@ def lex_java(text: str) -> Tokens | None:
                 at += 7
                 kinds.append("non-sealed")
             else:
+                if word in _JAVA_MODIFIERS and kinds and kinds[-1] == word:
+                    return None
                 kinds.append(word if word in _JAVA_WORDS else "ID")
         elif group == "op":
             kinds.append(m.group())
         else:
-            if group == "NUM" and at < n and (text[at].isalnum() or text[at] in "_$"):
+            if group == "NUM" and (at < n and (text[at].isalnum() or text[at] in "_$") or _BAD_OCTAL.match(m.group())):
                 return None
             kinds.append(group)
-    _classify(kinds, "->")
-    for i in range(1, len(kinds)):
-        if kinds[i] == "->" and (kinds[i - 1] == "ID" or kinds[i - 1] in JAVA_CONTEXTUAL):
-            kinds[i - 1] = "IDA"
     kinds.append("EOF")
     return kinds, [False] * len(kinds)
 
@@ -97,6 +80,8 @@ _REGEX = re.compile(r"/(?![*/])(?:\\[^\r\n]|\[(?:\\[^\r\n]|[^\]\\\r\n])*\]|[^/\\
 _ES_WORDS = frozenset(ES_RESERVED) | frozenset(ES_CONTEXTUAL)
 _VALUE_ENDS = frozenset(["ID", "NUM", "STRING", "REGEX", "TPL", "TTAIL", ")", "]", "}", "this", "super", "null", "true", "false", "PRIVATE",
                          "++", "--", "J/>", "JEND", *ES_CONTEXTUAL])
+_CONDITIONS = frozenset(["if", "while", "for", "with"])
+_ANGLES = {"<": 1, "<<": 2, ">": -1}
 _JSX_NAME = re.compile(r"[^\W\d][\w$-]*(?:\s*[.:]\s*[^\W\d][\w$-]*)*")
 _JSX_SPACE = re.compile(r"(?:\s+|//[^\r\n]*|/\*(?s:.*?)\*/)+")
 _JSX_STRING = re.compile(r"\"[^\"]*\"|'[^']*'")
@@ -108,6 +93,8 @@ def lex_ecmascript(text: str, typescript: bool, jsx: bool) -> Tokens | None:
     kinds: list[str] = []
     ends: list[bool] = []
     modes: list[str] = []  # what a '}' or the end of a tag returns to
+    parens: list[bool] = []  # does the parenthesis belong to a condition?
+    angles: list[int] = []  # open '<' of the type arguments of each tag
     tags: list[str] = []
     at, n = (1 if text.startswith("﻿") else 0), len(text)
     if text.startswith("#!", at):
@@ -177,8 +164,10 @@ def lex_ecmascript(text: str, typescript: bool, jsx: bool) -> Tokens | None:
                 continue
             if c == "<" and prev == "J=":
                 at += 1
-            elif c == "<" and typescript and prev == "JNAME":
-                return None
+            elif c == "<" and typescript and prev == "JNAME" and kinds[-2] == "J<":
+                modes.append("types")
+                angles.append(0)
+                continue
             else:
                 m = _JSX_NAME.match(text, at)
                 if not m:
@@ -265,7 +254,7 @@ def lex_ecmascript(text: str, typescript: bool, jsx: bool) -> Tokens | None:
                     at = m.end()
                     put("REGEX")
                     continue
-            if c == "<" and jsx and prev not in _VALUE_ENDS or c == "<" and jsx and prev == "}" and newline:
+            if c == "<" and jsx and mode != "types" and (prev not in _VALUE_ENDS or prev == "}" and newline):
                 if not (typescript and _GENERIC_ARROW.match(text, at)):
                     at += 1
                     opening = True
@@ -295,20 +284,23 @@ def lex_ecmascript(text: str, typescript: bool, jsx: bool) -> Tokens | None:
             if after_dot and word in _ES_WORDS and word in ES_RESERVED:
                 prev = "ID"
         elif group == "op":
-            put(m.group())
+            word = m.group()
+            if word == "(":
+                parens.append(prev in _CONDITIONS)
+            put(word)
+            if word == ")" and parens and parens.pop():
+                prev = "condition"
+            elif mode == "types" and word in _ANGLES:
+                angles[-1] += _ANGLES[word]
+                if angles[-1] <= 0:
+                    angles.pop()
+                    modes.pop()
         else:
             if group == "NUM" and at < n and (text[at].isalnum() or text[at] in "_$"):
                 return None
             put(group)
     if modes or tags:
         return None
-    _classify(kinds, "=>")
-    for i in range(1, len(kinds)):
-        if kinds[i] == "=>" and (kinds[i - 1] == "ID" or kinds[i - 1] in ES_CONTEXTUAL):
-            kinds[i - 1] = "IDA"
-        elif kinds[i - 1] == "async" and kinds[i] not in ("function", "(A", "(M", "IDA", "ID", "*", "[", "STRING", "NUM", "PRIVATE", "<"):
-            if kinds[i] not in _ES_WORDS:
-                kinds[i - 1] = "ID"
     kinds.append("EOF")
     ends.append(newline)
     return kinds, ends
