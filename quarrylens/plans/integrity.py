@@ -32,7 +32,7 @@ def symbol_nodes(spark: SparkSession, d: str) -> DataFrame:
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     nodes = symbol_nodes(spark, d)
     linked = nodes.filter(F.col("parent_id").isNotNull()).select("id")
-    tree = build_hierarchy(nodes, with_path=False)
+    tree = build_hierarchy(nodes)
     return tree.join(linked, "id", "left_semi").select(
         F.col("id").alias("symbol_id"), F.col("root_id").alias("root_symbol_id"), "depth")
 
@@ -57,7 +57,7 @@ def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_cycles(spark: SparkSession, d: str) -> DataFrame:
     """Each cycle with the number of symbols on it or behind it."""
-    tree = build_hierarchy(symbol_nodes(spark, d), with_path=False)
+    tree = build_hierarchy(symbol_nodes(spark, d))
     return tree.filter("depth = -1").groupBy(F.col("root_id").alias("cycle_id")).agg(
         F.count_if(F.col("tree_id") == F.col("id")).alias("n_on_cycle"), F.count("*").alias("n_symbols"))
 

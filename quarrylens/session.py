@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -29,11 +30,13 @@ def build_session(app: str = "quarrylens", master: str | None = None, **conf: st
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in spark.checkpoint.dir; make one only where it is unset (tests)."""
+    """Use the shared folder named in spark.checkpoint.dir; make one only in local mode, where it may be unset."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quarrylens-checkpoint-"))
 
 
@@ -48,13 +51,43 @@ def written(df: DataFrame) -> DataFrame:
 
     A checkpoint keeps the plan's partitioning, and where a loop renames columns and
     unites its rounds, what the planner knows of that multiplies with every round. A
-    table that was read back carries nothing.
+    table that was read back carries nothing. Tables go with `discard`, the rest of
+    them when the process ends.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/written-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    if not _LEFT:
+        atexit.register(_discard_all)
+    _LEFT[path] = spark
+    return table
+
+
+_LEFT: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove written tables that nothing reads any more; other frames are left alone."""
+    for table in tables:
+        path = getattr(table, "_written_at", None)
+        if path in _LEFT:
+            _delete(_LEFT.pop(path), path)
+
+
+def _discard_all() -> None:
+    for path, spark in list(_LEFT.items()):
+        try:
+            _delete(spark, path)
+        except Exception:  # the session may be gone, and its folder with it
+            return
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
