@@ -31,8 +31,14 @@ from quarrylens.operators.records import canonical_id
 from quarrylens.session import cut_lineage
 
 DIMENSION = 384
-#: Expected rows of the training sample, drawn by a hash of the id.
-SAMPLE_ROWS = 12_000
+#: Vectors a cell is meant to hold; the first codebook has as many words as that takes ...
+CELL_ROWS = 500
+#: ... up to this many, beyond which cells grow.
+MOST_CELLS = 4_096
+#: Expected rows of the training sample for each word of the first codebook, drawn by a hash of the id; at least LEAST_SAMPLE.
+SAMPLE_PER_CELL = 12
+LEAST_SAMPLE = 12_000
+#: Words of the other codebooks, and their number.
 CODEWORDS = 256
 CODEBOOKS = 4
 BEAM = 3
@@ -44,25 +50,23 @@ CELL_RECALL = 0.95
 DENSE_ROWS = 50_000
 #: Stored vectors of one block of a cell (30 MB).
 BLOCK_ROWS = 20_000
-#: Cells each vector probes where these are pairs of codewords (only if asked for).
-PAIR_PROBES = 8
+#: Vectors sent to one task of the search, on average (15 MB).
+TASK_ROWS = 20_000
 
 
 @dataclass
 class Quantizer:
-    codebooks: np.ndarray
-    """codebooks x codewords x dimension"""
+    books: list[np.ndarray]
+    """codebooks of codewords x dimension"""
     cut: float = -1.0
-    pair_cells: bool = False
     joined: np.ndarray | None = None
     """cell of each first codeword, where codewords share cells"""
 
     def __post_init__(self) -> None:
-        m, k, d = self.codebooks.shape
-        self.flat = self.codebooks.reshape(m * k, d)
-        gram = self.flat @ self.flat.T
-        self.gram = gram.reshape(m, k, m, k)
-        self.norms = np.einsum("mkd,mkd->mk", self.codebooks, self.codebooks)
+        self.flat = np.concatenate(self.books)
+        self.starts = np.cumsum([0, *[len(b) for b in self.books]])
+        self.gram = {(i, j): self.books[i] @ self.books[j].T for j in range(len(self.books)) for i in range(j)}
+        self.norms = [np.einsum("kd,kd->k", b, b) for b in self.books]
 
     def encode(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """codes (n, codebooks), norms of the decoded vectors, cells (n, probes) from best to worst.
@@ -70,58 +74,57 @@ class Quantizer:
         All products of the vectors with codewords are taken once; the beam then only
         adds table entries: |x - sum c|^2 = |x|^2 - 2 x.c + |c|^2 + 2 c.c'.
         """
-        m, k, _ = self.codebooks.shape
         n = len(x)
-        width = max(beam, EXTRA_PROBES + 1)
-        products = (x @ self.flat.T).reshape(n, m, k)
-        error = self.norms[0][None] - 2 * products[:, 0]
-        width = min(width, k)
+        products = self.tables(x)
+        error = self.norms[0][None] - 2 * products[0]
+        width = min(max(beam, EXTRA_PROBES + 1), error.shape[1])
         best = np.argpartition(error, width - 1, axis=1)[:, :width]
         score = np.take_along_axis(error, best, 1)
         order = np.argsort(score, axis=1, kind="stable")
         best, score = np.take_along_axis(best, order, 1), np.take_along_axis(score, order, 1)
         cells = best[:, :EXTRA_PROBES + 1].astype(np.int64)
         codes = best[:, :, None]
-        for j in range(1, m):
-            keep = codes.shape[1]
-            gain = self.norms[j][None, None] - 2 * products[:, None, j]
+        for j in range(1, len(self.books)):
+            keep, k = codes.shape[1], len(self.books[j])
+            gain = self.norms[j][None, None] - 2 * products[j][:, None]
             for i in range(j):
-                gain = gain + 2 * self.gram[i][:, j][codes[:, :, i]]
+                gain = gain + 2 * self.gram[i, j][codes[:, :, i]]
             total = (score[:, :, None] + gain).reshape(n, keep * k)
-            width = min(PAIR_PROBES if self.pair_cells and j == 1 else beam, total.shape[1])
+            width = min(beam, total.shape[1])
             best = np.argpartition(total, width - 1, axis=1)[:, :width]
             score = np.take_along_axis(total, best, 1)
             order = np.argsort(score, axis=1, kind="stable")
             best, score = np.take_along_axis(best, order, 1), np.take_along_axis(score, order, 1)
             codes = np.concatenate([np.take_along_axis(codes, (best // k)[:, :, None], 1), (best % k)[:, :, None]], axis=2)
-            if j == 1 and self.pair_cells:
-                cells = codes[:, :, 0].astype(np.int64) * k + codes[:, :, 1]
-        if self.joined is not None and not self.pair_cells:
+        if self.joined is not None:
             cells = self.joined[cells]
         final = codes[:, 0]
-        norm2 = self.norms[np.arange(m)[None], final].sum(1)
-        for i in range(m):
-            for j in range(i):
-                norm2 = norm2 + 2 * self.gram[i, final[:, i], j, final[:, j]]
-        return final.astype(np.uint8), np.sqrt(np.maximum(norm2, 1e-12)).astype(np.float32), cells
-
-    def tables(self, queries: np.ndarray) -> np.ndarray:
-        """Products of queries with all codewords: (n, codebooks, codewords)."""
-        m, k, _ = self.codebooks.shape
-        return (queries @ self.flat.T).reshape(len(queries), m, k)
-
-    def scores(self, tables: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
+        norm2 = sum(self.norms[j][final[:, j]] for j in range(len(self.books)))
+        for (i, j), gram in self.gram.items():
+            norm2 = norm2 + 2 * gram[final[:, i], final[:, j]]
+        return final.astype(np.uint16), np.sqrt(np.maximum(norm2, 1e-12)).astype(np.float32), cells
+
+    def tables(self, queries: np.ndarray) -> list[np.ndarray]:
+        """Products of queries with all codewords, by codebook."""
+        return np.split(queries @ self.flat.T, self.starts[1:-1], axis=1)
+
+    def scores(self, tables: list[np.ndarray], codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
         """Similarity of each query to each stored code, read from the tables."""
-        out = np.take(tables[:, 0], codes[:, 0], axis=1)
+        out = np.take(tables[0], codes[:, 0], axis=1)
         for j in range(1, codes.shape[1]):
-            out += np.take(tables[:, j], codes[:, j], axis=1)
+            out += np.take(tables[j], codes[:, j], axis=1)
         return out / norms[None]
 
 
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    half = 0.5 * np.einsum("kd,kd->k", c, c)
+    return np.concatenate([(x[at:at + 4096] @ c.T - half).argmax(1) for at in range(0, len(x), 4096)])
+
+
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
     c = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
     for _ in range(rounds):
-        near = (x @ c.T - 0.5 * np.einsum("kd,kd->k", c, c)).argmax(1)
+        near = _nearest(x, c)
         order = np.argsort(near, kind="stable")
         counts = np.bincount(near, minlength=k)
         starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
@@ -131,17 +134,17 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
     return c.astype(np.float32)
 
 
-def fit(sample: np.ndarray, threshold: float, codebooks: int = CODEBOOKS, codewords: int = CODEWORDS, pair_cells: bool = False,
+def fit(sample: np.ndarray, threshold: float, codebooks: int = CODEBOOKS, codewords: int = CODEWORDS, cells: int | None = None,
         seed: int = 7) -> Quantizer:
-    """Residual codebooks from unit vectors, and a cut below the scores of sampled pairs at the threshold."""
+    """Residual codebooks from unit vectors, the first of `cells` words, and a cut below the scores of sampled pairs at the threshold."""
     rng = np.random.default_rng(seed)
     rest, books = sample.copy(), []
     for j in range(codebooks):
-        book = _kmeans(rest, codewords, 8 if j == 0 else 3, rng)
-        near = (rest @ book.T - 0.5 * np.einsum("kd,kd->k", book, book)).argmax(1)
+        book = _kmeans(rest, (cells or codewords) if j == 0 else codewords, 8 if j == 0 else 3, rng)
+        near = _nearest(rest, book)
         rest = rest - book[near]
         books.append(book)
-    model = Quantizer(np.stack(books), pair_cells=pair_cells)
+    model = Quantizer(books)
     codes, norms, _ = model.encode(sample[:4000])
     probe = sample[:1500]
     exact = probe @ sample[:4000].T
@@ -175,7 +178,8 @@ def join_cells(model: Quantizer, sample: np.ndarray, threshold: float, k: int, l
         left.append(rows + at)
         right.append(best[rows, cols])
     a, b = cells[np.concatenate(left)], cells[np.concatenate(right)]
-    joined, n = np.arange(model.codebooks.shape[1]), model.codebooks.shape[1]
+    n = len(model.books[0])
+    joined = np.arange(n)
     while len(a):
         x, y = joined[a], joined[b]
         lost = ~((x[:, :1] == y).any(1) | (y[:, :1] == x).any(1))
@@ -231,29 +235,36 @@ def _fingerprint() -> list:
     return [F.xxhash64("vector").alias("h1"), F.xxhash64(F.reverse("vector")).alias("h2")]
 
 
-def similar_pairs(chunks: DataFrame, k: int = 5, threshold: float = 0.75, dimension: int = DIMENSION, sample_rows: int = SAMPLE_ROWS,
-                  block_rows: int = BLOCK_ROWS, pair_cells: bool = False) -> DataFrame:
+def similar_pairs(chunks: DataFrame, k: int = 5, threshold: float = 0.75, dimension: int = DIMENSION, cell_rows: int = CELL_ROWS,
+                  block_rows: int = BLOCK_ROWS, task_rows: int = TASK_ROWS) -> DataFrame:
     """id, other, similarity: for each record its k most similar others at or above the threshold.
 
-    Only the newest version of an id counts, and only with a usable vector. Equal
-    similarities (to six decimals) go to the smaller id. Records with equal vectors
+    Only the newest version of an id counts, and only with a usable vector; a null
+    delivery time is older than any other, and of versions of one time one with the
+    greatest fingerprint holds. Equal similarities (to six decimals) go to the smaller id. Records with equal vectors
     count as different records; each gets its own row set. Rows with a null id,
     null, short or zero vectors take no part; an empty input gives an empty result.
     Approximate: a partner is missed only if neither lies in a cell the other
     probes, or if its scored similarity falls below the calibrated cut. The rule is
-    the same at every size; `pair_cells` asks for cells of codeword pairs, which
-    are cheaper to search and lose most partners inside a hot group.
+    the same at every size: the first codebook has one word for `cell_rows` vectors,
+    up to MOST_CELLS.
     """
     spark = chunks.sparkSession
     out_schema = "id string, other string, similarity double"
     # newest version of each id over all rows, usable or not: narrow rows only
-    every = chunks.select(canonical_id("id").alias("id"), F.col("ingested_at").alias("at")).filter(F.col("id").isNotNull())
+    at = F.coalesce(F.col("ingested_at").cast("timestamp_ntz"), F.lit("0001-01-01").cast("timestamp_ntz")).alias("at")
+    every = chunks.select(canonical_id("id").alias("id"), at).filter(F.col("id").isNotNull())
     latest = every.groupBy("id").agg(F.max("at").alias("newest"), F.count("*").alias("n"))
     repeated = cut_lineage(latest.filter("n > 1").select("id", "newest"))
-    fresh = usable_vectors(chunks, dimension=dimension).join(_sided(repeated), "id", "left").filter(
-        F.col("newest").isNull() | (F.col("at") == F.col("newest")) | F.col("at").isNull())
+    usable = usable_vectors(chunks.withColumn("ingested_at", at), dimension=dimension)
+    fresh = usable.join(_sided(repeated), "id", "left").filter(F.col("newest").isNull() | (F.col("at") == F.col("newest")))
     marked = fresh.select(_packed("id").alias("id"), "vector", *_fingerprint())
-    narrow = cut_lineage(marked.select("id", "h1", "h2").distinct())
+    prints = F.struct("h1", "h2")
+    narrow = cut_lineage(marked.groupBy("id").agg(F.max(prints).alias("p"), (F.max(prints) != F.min(prints)).alias("tied")))
+    tied = cut_lineage(narrow.filter("tied").select("id", F.col("p.h1").alias("k1"), F.col("p.h2").alias("k2")))
+    if not tied.isEmpty():
+        marked = marked.join(_sided(tied), "id", "left").filter(F.col("k1").isNull() | (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).drop("k1", "k2")
+    narrow = narrow.select("id", "p.h1", "p.h2")
     n_vectors = narrow.count()
     if n_vectors < 2:
         return spark.createDataFrame([], out_schema)
@@ -262,19 +273,19 @@ def similar_pairs(chunks: DataFrame, k: int = 5, threshold: float = 0.75, dimens
     copies = narrow.join(equal.select("h1", "h2", "first_id"), ["h1", "h2"]).select("first_id", "id")
     redundant = cut_lineage(copies.filter("id <> first_id").select("id"))
 
+    cells = min(MOST_CELLS, max(2, n_vectors // cell_rows))
+    sample_rows = max(LEAST_SAMPLE, SAMPLE_PER_CELL * cells)
     rate = min(1.0, sample_rows / n_vectors)
-    drawn = usable_vectors(chunks, dimension=dimension).filter(
-        F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_000)) < F.lit(int(rate * 1_000_000))).select("id", "vector")
+    drawn = usable.filter(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_000)) < F.lit(int(rate * 1_000_000))).select("id", "vector")
     table = drawn.toArrow().sort_by("id")
     sample = _floats(table["vector"], dimension) if table.num_rows else np.zeros((0, dimension), np.float32)
     if len(sample) < 2:
-        table = usable_vectors(chunks, dimension=dimension).select("id", "vector").limit(sample_rows).toArrow().sort_by("id")
+        table = usable.select("id", "vector").limit(LEAST_SAMPLE).toArrow().sort_by("id")
         sample = _floats(table["vector"], dimension)
     sample = sample / np.linalg.norm(sample.astype(np.float64), axis=1, keepdims=True).astype(np.float32)
-    model = fit(sample, threshold, codewords=min(CODEWORDS, max(2, len(sample) // 16)), pair_cells=pair_cells)
-    if not pair_cells:
-        model.joined = join_cells(model, sample, threshold, k)
-    shared = spark.sparkContext.broadcast((model.codebooks, model.cut, pair_cells, model.joined))
+    model = fit(sample, threshold, codewords=min(CODEWORDS, max(2, len(sample) // 16)), cells=min(cells, max(2, len(sample) // SAMPLE_PER_CELL)))
+    model.joined = join_cells(model, sample[::-(-len(sample) // LEAST_SAMPLE)], threshold, k)
+    shared = spark.sparkContext.broadcast((model.books, model.cut, model.joined))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Quantizer(*shared.value)
@@ -321,7 +332,7 @@ def similar_pairs(chunks: DataFrame, k: int = 5, threshold: float = 0.75, dimens
         placed = stored.withColumn("alone", F.col("blocks") > 1).unionByName(asking.withColumn("alone", F.lit(True))).drop("blocks")
     else:
         placed = encoded.withColumn("block", F.lit(0)).withColumn("alone", F.lit(False))
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_vectors * (1 + EXTRA_PROBES) // task_rows))
     sorted_cells = placed.repartition(parts, "cell", "block").sortWithinPartitions("cell", "block", "is_probe")
     found = sorted_cells.mapInArrow(_search(shared, dimension, k, threshold), "id binary, other binary, similarity double")
     best = _top(found, k)
@@ -343,7 +354,7 @@ def _search(shared, dimension: int, k: int, threshold: float):
         def unpack(batch: pa.RecordBatch) -> tuple:
             n = batch.num_rows
             x = np.frombuffer(b"".join(batch.column("vector").to_pylist()), np.float16).reshape(n, dimension).astype(np.float32)
-            codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(n, -1)
+            codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint16).reshape(n, -1)
             return np.array(batch.column("id").to_pylist(), dtype=object), x, codes, batch.column("norm").to_numpy()
 
         def compare(ids, x, stored) -> Iterator[pa.RecordBatch]:

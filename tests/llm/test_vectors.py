@@ -31,11 +31,11 @@ def frame(spark, ids, x):
     return spark.createDataFrame([(i, [float(v) for v in e], AT, "x", 1) for i, e in zip(ids, x)], SCHEMA)
 
 
-@pytest.mark.parametrize(("pairs", "block"), [(False, 20_000), (True, 20_000), (False, 40)])
-def test_recall_against_brute_force(spark, pairs, block):
+@pytest.mark.parametrize(("cell", "block"), [(500, 20_000), (16, 20_000), (100, 40)])
+def test_recall_against_brute_force(spark, cell, block):
     x = clusters(60, 9, 3)
     ids = [f"{i:08x}-0000-0000-0000-{i:012x}" for i in range(len(x))]
-    got = {(r["id"], r["other"]) for r in similar_pairs(frame(spark, ids, x), block_rows=block, pair_cells=pairs).collect()}
+    got = {(r["id"], r["other"]) for r in similar_pairs(frame(spark, ids, x), block_rows=block, cell_rows=cell, task_rows=100).collect()}
     want = brute(ids, x, 5, 0.75)
     assert len(got & want) >= 0.97 * len(want) and len(got & want) >= 0.97 * len(got)
 
@@ -69,13 +69,13 @@ def test_codes_decode_to_what_is_scored():
     x = clusters(20, 10, 5)
     model = fit(x, 0.75, codewords=16)
     codes, norms, cells = model.encode(x)
-    decoded = sum(model.codebooks[j][codes[:, j]] for j in range(codes.shape[1]))
+    decoded = sum(model.books[j][codes[:, j]] for j in range(codes.shape[1]))
     assert np.allclose(np.linalg.norm(decoded, axis=1), norms, atol=1e-3)
     assert np.allclose(model.scores(model.tables(x[:5]), codes, norms), x[:5] @ decoded.T / norms, atol=1e-4)
-    greedy = Quantizer(model.codebooks)
+    greedy = Quantizer(model.books)
     beam_error = ((x - decoded) ** 2).sum()
     c1 = greedy.encode(x, beam=1)[0]
-    assert beam_error <= ((x - sum(model.codebooks[j][c1[:, j]] for j in range(c1.shape[1]))) ** 2).sum() + 1e-3
+    assert beam_error <= ((x - sum(model.books[j][c1[:, j]] for j in range(c1.shape[1]))) ** 2).sum() + 1e-3
     assert (cells[:, 0] == codes[:, 0]).mean() > 0.5
 
 
@@ -87,11 +87,11 @@ def hot_group(seed, n=3000):
     return x[rng.permutation(len(x))]
 
 
-@pytest.mark.parametrize("block", [20_000, 400])
-def test_recall_in_a_hot_group(spark, block):
+@pytest.mark.parametrize(("block", "cell"), [(20_000, 16), (400, 16), (400, 500)])
+def test_recall_in_a_hot_group(spark, block, cell):
     x = hot_group(11)
     ids = [f"{i:08x}-0000-0000-0000-{i:012x}" for i in range(len(x))]
-    got = {(r["id"], r["other"]) for r in similar_pairs(frame(spark, ids, x), block_rows=block).collect()}
+    got = {(r["id"], r["other"]) for r in similar_pairs(frame(spark, ids, x), block_rows=block, cell_rows=cell).collect()}
     want = brute(ids, x, 5, 0.75)
     hot = {ids[i] for i in np.flatnonzero((x @ x.T > 0.7).sum(1) > 100)}
     in_hot = {p for p in want if p[0] in hot}
@@ -99,10 +99,20 @@ def test_recall_in_a_hot_group(spark, block):
     assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got)
 
 
-def test_the_candidate_rule_does_not_depend_on_size(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "PAIR_CELLS_FROM", 100, raising=False)
+def test_more_cells_keep_the_recall(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "MOST_CELLS", 64)
     x = hot_group(12, 1500)
     ids = [f"{i:08x}-0000-0000-0000-{i:012x}" for i in range(len(x))]
-    got = {(r["id"], r["other"]) for r in similar_pairs(frame(spark, ids, x)).collect()}
     want = brute(ids, x, 5, 0.75)
-    assert len(got & want) >= 0.95 * len(want)
+    for cell in (500, 100, 20):
+        got = {(r["id"], r["other"]) for r in similar_pairs(frame(spark, ids, x), cell_rows=cell).collect()}
+        assert len(got & want) >= 0.95 * len(want)
+
+
+def test_one_version_of_an_id_holds(spark):
+    x = clusters(2, 2, 4, 0.1)
+    v = [[float(e) for e in row] for row in x]
+    rows = [("a", v[0], AT, "", 1), ("a", v[2], None, "", 1), ("b", v[1], AT, "", 1), ("c", v[3], AT, "", 1), ("t", v[0], AT, "", 1), ("t", v[2], AT, "", 1)]
+    got = {(r["id"], r["other"]) for r in similar_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
+    t_with = {o for i, o in got if i == "t"}
+    assert ("a", "b") in got and ("a", "c") not in got and t_with in ({"a", "b"}, {"c"})
