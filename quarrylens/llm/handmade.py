@@ -1,8 +1,7 @@
 """Files that nobody wrote by hand: generated, minified, vendored, or data saved as code.
 
-1. One pass over each text finds its marks (a header of a generator or of a
-   library's licence), its token composition, and its line keys. A line key is the
-   hash of a line together with the line after it, white space aside; that makes
+1. One pass over each text finds its line keys and its token composition. A line key
+   is the hash of a line together with the line after it, white space aside; that makes
    keys rare outside of copies at any corpus size, without a frequency cap.
 2. Files with the same set of keys form one class, so exact copies cost one entry.
 3. The inverted index of the keys keeps, per key, two classes of different
@@ -12,13 +11,13 @@
 4. A class whose choice falls short, but which has enough keys elsewhere, is compared
    with every class that can hold enough of them: one that does must hold one of its
    rarest keys, of which all but as many as are needed, less one, are looked up.
+5. Files that are no copies are judged by their composition.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from statistics import median
 
 import pandas as pd
 import xxhash
@@ -31,44 +30,38 @@ MIN_CONTAINMENT = 0.5
 #: ... and at least so many keys are shared.
 MIN_SHARED_KEYS = 8
 
-# What generators and licence headers say.
-_GENERATED = re.compile(
-    r"""(?ix)
-    <auto-?generated | @generated\b | \bauto-?generated\b | \bautomatically\s+(?:generated|created|produced)
-    | \b(?:created|generated|produced)\s+automatically
-    | \bcode\s+generated\s+(?:by|from|with) | \b(?:file|class|source|code|module)\s+(?:was|is|has\s+been)\s+(?:auto)?generated
-    | ^\W*generated\s+(?:by|from|with|on)\b
-    | \bdo\s+not\s+(?:edit|modify|change)(?:\s+(?:this|manually|directly|by\s+hand|the\s+file)|\W*$|[.!*])
-    | \bchanges\s+(?:\w+\s+){0,4}(?:lost|overwritten) | \bproduced\s+from\s+\S+\s+by
-    | \bautomatisch\s+(?:erzeugt|generiert|erstellt) | \bnicht\s+(?:bearbeiten|ändern|editieren)\W*$
-    | \bgénéré\s+automatiquement | \bne\s+pas\s+modifier | \bgenerado\s+autom | \bno\s+(?:editar|modificar)\W*$
-    | \bsource:\s+\S+\s+\(compiler\s | ^\W*source:\s+\S+\.(?:proto|idl|xsd|thrift|wsdl|g4)\b
-    """,
-)
-_JAVA_GENERATED = re.compile(r"(?m)^\s*@(?:javax\.annotation\.|jakarta\.annotation\.)?Generated\b")
-_LICENSED = re.compile(
-    r"""(?ix)
-    @licen[cs]e\s+\S | @preserve\b
-    | \(c\)\s+(?:the\s+)?[\w.-]+\s+(?:authors|contributors).*licen[cs]e
-    | ^\W*[\w.-]+\s+v?\d+\.\d+(?:\.\d+)?\s*\|\s*\S*licen[cs]e
-    """,
+# Words of comments that generators write, with their weight; a line with a weight of 1 shows a generator.
+_MARK_WORDS = {
+    "auto": 0.3, "autogenerated": 0.9, "@generated": 1.0, "automatically": 0.5, "automatisch": 0.5, "automatiquement": 0.5, "automáticamente": 0.5,
+    "generated": 0.3, "generiert": 0.6, "erzeugt": 0.6, "généré": 0.6, "generado": 0.6, "produced": 0.3, "created": 0.3, "erstellt": 0.3,
+    "overwritten": 0.5, "lost": 0.3, "regenerate": 0.5, "compiler": 0.3, "codegen": 0.3, "generator": 0.3, "source": 0.3,
+}
+_MARK_PARTICLES = (
+    (0.2, frozenset("by from with aus von par por à".split())), (0.2, frozenset("edit modify change bearbeiten ändern modifier editar modificar".split())),
+    (0.2, frozenset("not nicht ne no".split())),
 )
+_MARK_SUBJECTS = frozenset("code file class source module this is was been automatically auto".split())
+_SCHEMA_FILE = re.compile(r"(?i)^\S+\.(?:proto|idl|xsd|thrift|wsdl|g4|avsc|graphql)$")
+_ANNOTATED = re.compile(r"(?m)^\s*@(?:javax\.annotation\.|jakarta\.annotation\.)?Generated\b")
+_BUILT = re.compile(r"(?m)^//[#@] sourceMappingURL=\S+\s*\Z")
+_MARK_TOKEN = re.compile(r"@?[^\W\d_][\w.-]*")
+_GENERATED_PATH = re.compile(r"(?i)(?:^|/)(?:gen|generated|autogen|__generated__|codegen)/|(?:_pb|\.g|\.pb|\.generated)\.\w+$")
 _VENDOR_DIR = re.compile(
-    r"(?i)(?:^|/)(?:third[_-]?party|node_modules|bower_components|external|extern|deps|vendor|vendored|assets/lib|public/js|static/js|static/lib)/")
-_VERSIONED_NAME = re.compile(r"(?i)[a-z][\w.]*-\d+\.\d+(?:\.\d+)?(?:\.min)?\.[jt]sx?$|[a-z][\w.]*-\d+\.\d+\.\d+\.java$")
-_SOURCE_MAP = re.compile(r"(?m)^//[#@] sourceMappingURL=\S+\s*\Z")
-
-_PACKAGE_FILE = re.compile(
-    r"(?i)(?:^|/)(?:third[_-]?party|node_modules|bower_components|external|extern|deps|vendor|vendored|assets/lib)/"
-    r"(?P<package>[a-z][\w.-]*)/(?:(?:src|lib|dist)/)?(?:index|core|main|(?P=package))(?:-\d[\d.]*)?\.\w+$")
-_TOKEN = re.compile(
-    r"""(?P<comment>//[^\n]*|/\*(?s:.*?)(?:\*/|\Z))|(?P<string>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)|(?P<number>\b\d[\w.]*)|(?P<word>[A-Za-z_$][\w$]*)|(?P<other>\S)""",
+    r"(?i)(?:^|/)(?:third[_-]?party|node_modules|bower_components|external|extern|deps|vendor|vendored|assets/lib|public/js|static/js|static/lib)/"
+    r"(?P<package>[^/]+)?(?P<inside>/)?")
+_QUOTED = re.compile(
+    r"""(?P<comment>//[^\n]*|/\*(?s:.*?)(?:\*/|\Z))|(?P<string>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)""",
     re.X,
 )
+_NUMBER = re.compile(r"\b\d[\w.]*")
+_WORD = re.compile(r"[A-Za-z_$][\w$]*")
+_NUMBERED_NAME = re.compile(r"[A-Za-z_$]\d")
+_DIGITS = re.compile(r"\d+")
 _KEYWORDS = frozenset(
     "if else for while return function class const let var new import export try catch throw switch case public private protected "
     "static final void int interface enum extends implements async await this".split()
 )
+_LOGIC = frozenset("return function if for while".split())
 
 
 def header_lines(text: str) -> list[str]:
@@ -90,43 +83,52 @@ def header_lines(text: str) -> list[str]:
 
 def composition(text: str) -> dict[str, float]:
     """Shares by which machine-made text shows: literals, numbers, short names, white space, line lengths."""
-    bare = text
-    n_string = n_number = n_word = n_keyword = n_other = n_logic = short = 0
-    string_chars = number_chars = longest = 0
-    comment_chars = 0
-    for m in _TOKEN.finditer(bare):
-        kind, size = m.lastgroup, m.end() - m.start()
-        if kind == "comment":
-            comment_chars += len(re.sub(r"\s", "", m.group()))
-        elif kind == "string":
+    comment_chars = string_chars = longest = n_string = 0
+    pieces, at = [], 0
+    for m in _QUOTED.finditer(text):
+        pieces.append(text[at:m.start()])
+        at = m.end()
+        if m.lastgroup == "comment":
+            comment_chars += len("".join(m.group().split()))
+        else:
+            size = at - m.start()
             n_string += 1
             string_chars += size
             longest = max(longest, size)
-        elif kind == "number":
-            n_number += 1
-            number_chars += size
-        elif kind == "word":
-            n_word += 1
-            n_keyword += m.group() in _KEYWORDS
-            n_logic += m.group() in ("return", "function", "if", "for", "while")
-            short += size <= 2
-        else:
-            n_other += 1
-    solid = max(1, len(re.sub(r"\s", "", bare)))
+    code = " ".join([*pieces, text[at:]])
+    numbers = _NUMBER.findall(code)
+    words = _WORD.findall(_NUMBER.sub(" ", code))
+    n_keyword = sum(w in _KEYWORDS for w in words)
+    number_chars = sum(map(len, numbers))
+    solid = max(1, len("".join(text.split())))
     dense = max(1, solid - comment_chars)
-    lines = [x for x in bare.split("\n") if x.strip()]
-    lengths = [len(x) for x in lines] or [0]
+    lengths = [len(x) for x in text.split("\n") if x.strip()] or [0]
     return {
-        "dense": dense, "tokens": n_string + n_number + n_word, "string_share": string_chars / dense,
-        "number_share": number_chars / dense, "longest_string": longest, "keywords": n_keyword, "logic": n_logic,
-        "numbers": n_number, "strings": n_string, "words": n_word,
-        "short_names": short / max(1, n_word - n_keyword), "space": 1 - solid / max(1, len(bare)),
-        "mean_line": sum(lengths) / len(lengths), "max_line": max(lengths), "median_line": median(lengths), "n_lines": len(lines),
+        "dense": dense, "tokens": n_string + len(numbers) + len(words), "string_share": string_chars / dense,
+        "number_share": number_chars / dense, "longest_string": longest, "keywords": n_keyword, "logic": sum(w in _LOGIC for w in words),
+        "numbers": len(numbers), "strings": n_string, "words": len(words),
+        "short_names": sum(len(w) <= 2 for w in words) / max(1, len(words) - n_keyword), "space": 1 - solid / max(1, len(text)),
+        "mean_line": sum(lengths) / len(lengths), "max_line": max(lengths), "n_lines": len(lengths),
     }
 
 
-def _numbered(text: str) -> float:
-    """Share of lines whose form, numbers masked, recurs in a numbered series."""
+def mark_weight(line: str) -> float:
+    """How much a comment line's words speak for a generator: the sum over its words, each kind once."""
+    lowered = line.lower()
+    words = _MARK_TOKEN.findall(lowered.replace("auto-generated", "autogenerated"))
+    weight = sum(_MARK_WORDS.get(w.rstrip("."), 0.0) for w in set(words))
+    weight += sum(w for w, kinds in _MARK_PARTICLES if not kinds.isdisjoint(x.rstrip(".") for x in words))
+    # what was generated: the file itself, or something else it speaks of
+    for i, w in enumerate(words):
+        if w.rstrip(".") == "generated" and (i == 0 or words[i - 1] in _MARK_SUBJECTS):
+            weight += 0.3
+            break
+    weight += 0.5 * any(_SCHEMA_FILE.match(w.rstrip(".")) is not None for w in words)
+    return weight + 0.2 * lowered.lstrip("/*!# ").startswith("<autogenerated" if "<autogenerated" in lowered else "<auto-generated")
+
+
+def _numbered(text: str) -> tuple[float, int]:
+    """Share of lines whose form, numbers masked, recurs in a numbered series, and the number of such forms."""
     forms: dict[str, set[str]] = {}
     n = 0
     for line in text.split("\n"):
@@ -134,26 +136,32 @@ def _numbered(text: str) -> float:
         if len(s) < 12:
             continue
         n += 1
-        names = re.findall(r"[A-Za-z_$]+_?\d+\b", s)
-        if names:
-            forms.setdefault(re.sub(r"\d+", "0", s), set()).add(s)
-    return sum(len(v) for v in forms.values() if len(v) >= 4) / n if n >= 12 else 0.0
+        if _NUMBERED_NAME.search(s):
+            forms.setdefault(_DIGITS.sub("0", s), set()).add(s)
+    series = [len(v) for v in forms.values() if len(v) >= 4]
+    return (sum(series) / n, len(series)) if n >= 8 else (0.0, 0)
 
 
 def rule_class(path: str | None, text: str) -> str | None:
-    """generated, vendored, minified or data by the file's own marks and composition; None if none shows."""
+    """generated, minified or data by the composition of the file's tokens; None if none shows.
+
+    Words of the header comment, numbered series of lines, literals, short names and
+    line lengths each carry a weight; no single phrase decides, but for an annotation
+    or a link to a source map, which tools write for tools.
+    """
     if not text.strip():
         return None
-    header = header_lines(text)
-    if any(_GENERATED.search(x) for x in header):
+    marks = max(map(mark_weight, header_lines(text)), default=0.0)
+    share, forms = _numbered(text)
+    named = 0.3 if _GENERATED_PATH.search((path or "").replace("\\", "/")) else 0.0
+    series = 0.7 * (share > 0.5) + 0.4 * (share > 0.5 and forms >= 2) + 0.3 * (0.25 < share <= 0.5 and forms >= 2)
+    if marks + named + series >= 1.0 - 1e-9 and (marks >= 0.7 or series):
         return "generated"
     first_type = re.search(r"\b(?:class|interface|enum|record)\s+\w", text)
-    if _JAVA_GENERATED.search(text, 0, first_type.start() if first_type else len(text)):
+    if _ANNOTATED.search(text, 0, first_type.start() if first_type else len(text)):
         return "generated"
-    if _SOURCE_MAP.search(text):
+    if _BUILT.search(text):
         return "minified"
-    if any(_LICENSED.search(x) for x in header):
-        return "vendored"
     c = composition(text)
     plain_json = text.lstrip().startswith(("{", "[")) and c["dense"] < 4000
     if c["dense"] >= 200 and not plain_json:
@@ -165,17 +173,18 @@ def rule_class(path: str | None, text: str) -> str | None:
             return "data"
         if c["number_share"] + c["string_share"] > 0.45 and c["numbers"] + c["strings"] > 2 * (c["words"] + 1) and c["keywords"] <= 8 and not c["logic"]:
             return "data"
-    plain = (path or "").replace("\\", "/")
-    if _numbered(text) > 0.5:
-        return "generated"
-    if _VERSIONED_NAME.search(plain) or _PACKAGE_FILE.search(plain):
-        return "vendored"
     return None
 
 
+def vendor_package(path: str | None) -> str | None:
+    """'' in a folder for third-party code, the package's name in a folder of its own there, null elsewhere."""
+    m = _VENDOR_DIR.search((path or "").replace("\\", "/"))
+    return (m.group("package").lower() if m.group("inside") and m.group("package") else "") if m else None
+
+
 def line_keys(text: str) -> list[int]:
     """Distinct signed 64-bit hashes of each line with the line after it; short lines join their neighbours."""
-    lines = [re.sub(r"\s+", "", x) for x in text.split("\n")]
+    lines = ["".join(x.split()) for x in text.split("\n")]
     lines = [x for x in lines if len(x) >= 6]
     keys = {xxhash.xxh64_intdigest(a + "\n" + b) for a, b in zip(lines, lines[1:]) if len(a) + len(b) >= 30}
     return [k - (1 << 64) if k >= 1 << 63 else k for k in sorted(keys)]
@@ -191,14 +200,14 @@ def profile_files(contents: DataFrame) -> DataFrame:
                 "file_id": batch["file_id"],
                 "repository_id": batch["repository_id"],
                 "rule": [rule_class(p, c) for p, c in zip(batch["path"], batch["content"])],
-                "in_vendor_dir": [bool(_VENDOR_DIR.search((p or "").replace("\\", "/"))) for p in batch["path"]],
+                "package": [vendor_package(p) for p in batch["path"]],
                 "keys": keys,
             })
 
     rows = contents.select("file_id", "repository_id", "path", "content").mapInPandas(
-        profile, "file_id string, repository_id string, rule string, in_vendor_dir boolean, keys array<long>")
+        profile, "file_id string, repository_id string, rule string, package string, keys array<long>")
     return rows.select(
-        "file_id", "rule", "in_vendor_dir", F.xxhash64(F.coalesce("repository_id", F.lit(""))).alias("repo"),
+        "file_id", "rule", "package", F.col("package").isNotNull().alias("in_vendor_dir"), F.xxhash64(F.coalesce("repository_id", F.lit(""))).alias("repo"),
         F.when(F.size("keys") > 0, F.xxhash64("keys")).alias("class_id"), F.size("keys").alias("n_keys"), "keys")
 
 
@@ -269,16 +278,20 @@ def cross_repository_containment(profiles: DataFrame, min_containment: float = M
 def classify_files(contents: DataFrame, min_containment: float = MIN_CONTAINMENT, min_shared: int = MIN_SHARED_KEYS) -> DataFrame:
     """file_id, kind ('generated', 'minified', 'data', 'vendored' or null for hand-written), containment.
 
-    Copies across repositories are vendored; in folders for third-party code half
-    the containment suffices. Blank and null texts are hand-written. Files
-    with equal ids are judged apart and given once with the first kind by name.
+    The index comes first: copies across repositories are vendored; in folders for
+    third-party code half the containment suffices, and there the other files of a
+    package of which some repository holds a copy are vendored as well. Composition
+    decides on the remaining files. Blank and null texts are hand-written. Files with
+    equal ids are judged apart and given once with the first kind by name.
     """
     profiles = cut_lineage(profile_files(contents))
     contained = cross_repository_containment(profiles, min_containment, min_shared).select("class_id", "repo", "shared", "containment")
-    joined = profiles.drop("keys").join(contained, ["class_id", "repo"], "left")
     needed = F.when(F.col("in_vendor_dir"), min_containment / 2).otherwise(min_containment)
-    copied = (F.col("containment") >= needed) & (F.col("shared") >= min_shared)
+    joined = cut_lineage(profiles.drop("keys").join(contained, ["class_id", "repo"], "left").withColumn(
+        "copied", F.coalesce((F.col("containment") >= needed) & (F.col("shared") >= min_shared), F.lit(False))))
+    known = joined.filter("copied AND package <> ''").select("package").distinct().withColumn("known", F.lit(True))
+    judged = joined.join(known, "package", "left").withColumn("vendored", F.col("copied") | F.coalesce("known", F.lit(False)))
     return (
-        joined.select("file_id", F.coalesce("rule", F.when(copied, F.lit("vendored"))).alias("kind"), "containment")
+        judged.select("file_id", F.when(F.col("vendored"), F.lit("vendored")).otherwise(F.col("rule")).alias("kind"), "containment")
         .groupBy("file_id").agg(F.min("kind").alias("kind"), F.max("containment").alias("containment"))
     )

@@ -1,4 +1,4 @@
-from quarrylens.llm.handmade import classify_files, header_lines, line_keys, rule_class
+from quarrylens.llm.handmade import classify_files, header_lines, line_keys, rule_class, vendor_package
 
 WORDS = [a + b for a in ("red", "tall", "wide", "cold", "late") for b in ("Fox", "Lamp", "Road", "Bird", "Stone", "Cup")]
 LIB = "\n".join(f"export function {w}(value, other) {{ return value * {i * 37} + other.{w}Field; }}" for i, w in enumerate(WORDS))
@@ -15,8 +15,10 @@ def test_rules():
             "const rows = [" + ",".join('{"id":%d,"k":"ab","v":%d}' % (i, i * 7) for i in range(60)) + "];\nexport default rows;",
             "class T {\n static final int[] T = {\n" + "0x12, 0x34, 0xff,\n" * 60 + "};\n}"]
     assert [rule_class("a.ts", t) for t in data] == ["data"] * 4
-    assert rule_class("a.js", "/*!\n * @license lib 1.2.3\n */\n" + HAND) == "vendored"
-    assert rule_class("third_party/lib/index.js", HAND) == "vendored" and rule_class("web/lib-1.2.3.js", HAND) == "vendored"
+    series = "\n".join(f"export const state{i} = {{ id: {i}, next: [{i * 7 % 5}] }};\nexport function step{i}(c) {{ return c === {i * 3} ? 1 : -1; }}" for i in range(12))
+    assert rule_class("gen/a.js", series) == rule_class("a.js", series) == "generated"
+    licence = "/*\n" + "\n".join(f" * Term {WORDS[i % len(WORDS)]} of the licence text." for i in range(45)) + "\n */\n"
+    assert rule_class("a.js", licence + "// Code generated by gen 1.2. DO NOT EDIT.\n" + HAND) == "generated"
 
 
 def test_hand_written_lookalikes():
@@ -29,6 +31,22 @@ def test_hand_written_lookalikes():
     assert header_lines("// a\n/* b\n c */\nimport x;\n// d\nlet y;\n// e") == ["// a", "/* b", "c */", "// d"]
 
 
+def test_hand_written_files_with_borrowed_words():
+    heads = ["// do not change this without asking the payments team\n", "/* Copyright. Do not modify. */\n", "/** @license MIT */\n", "/* (c) Acme authors, see LICENSE */\n"]
+    assert [rule_class("src/a.js", h + HAND) for h in heads] == [None] * len(heads)
+    assert rule_class("src/levels.js", "\n".join(f"export const level{i} = build({i});" for i in range(14))) is None
+    assert rule_class("src/api-1.2.js", HAND) is None and rule_class("external/auth/index.js", HAND) is None
+    assert [vendor_package(p) for p in ("external/auth/index.js", "a\\deps\\lib\\src\\x.js", "deps/x.js", "src/external-x/y.js", None)] == ["auth", "lib", "", None, None]
+
+
+def test_other_files_of_a_copied_package(spark):
+    rows = [("a1", "r1", "deps/lib/src/core.js", LIB), ("a2", "r2", "third_party/lib/core.js", LIB), ("b1", "r1", "deps/lib/src/extra.js", HAND),
+            ("c1", "r3", "deps/own/src/extra.js", HAND), ("d1", "r3", "src/lib/extra.js", HAND)]
+    df = spark.createDataFrame(rows, "file_id string, repository_id string, path string, content string")
+    got = {r["file_id"]: r["kind"] for r in classify_files(df).collect()}
+    assert got == {"a1": "vendored", "a2": "vendored", "b1": "vendored", "c1": None, "d1": None}
+
+
 def test_line_keys_ignore_white_space():
     assert line_keys(LIB) == line_keys(LIB.replace("\n", "\r\n\n  ")) and len(line_keys(LIB)) == 29
     assert line_keys("a\nb\n") == []
@@ -71,5 +89,5 @@ def test_copies_of_several_versions(spark):
 def test_marks_after_a_long_licence():
     terms = "".join(f" * term {w} of the licence\n" for w in WORDS * 20)
     assert rule_class("a.js", "/*\n" + terms + " * Code generated by gen 1.2. DO NOT EDIT.\n */\n" + HAND) == "generated"
-    assert rule_class("a.js", "/*\n" + terms + " * @license lib 1.2.3\n */\n" + HAND) == "vendored"
+    assert rule_class("a.js", "/*\n" + terms + " * @license lib 1.2.3\n */\n" + HAND) is None  # a licence alone makes no copy
     assert rule_class("a.js", "/*\n" + terms + " */\n" + HAND) is None
