@@ -49,7 +49,7 @@ def _units(text: str, max_chars: int) -> list[tuple[int, int, int, bool]]:
     units = []
     for number, m in enumerate(_LINE.finditer(text)):
         a, b = m.span()
-        if b - a <= part:
+        if b - a <= max_chars:
             units.append((a, b, number, True))
             continue
         pieces = -(-(b - a) // part)
@@ -119,8 +119,9 @@ def split_text(text: str | None, max_lines: int = MAX_LINES, max_chars: int = MA
 
     Every piece has at most `max_lines` lines and `max_chars` characters with its
     overlap. The overlap is `overlap` whole lines before the cut; it is shorter
-    where those lines alone would fill half a piece, and nothing is repeated
-    before a cut inside an overlong line. Lines end in LF or CRLF.
+    where those lines alone would fill half a piece or leave no room for the next
+    line, and nothing is repeated before a cut inside a line that is itself over
+    `max_chars`. Lines end in LF or CRLF.
     """
     if max_lines < 2 or max_chars < 3 or overlap < 0 or overlap >= max_lines:
         raise ValueError("limits must leave room for the overlap")
@@ -142,7 +143,8 @@ def split_text(text: str | None, max_lines: int = MAX_LINES, max_chars: int = MA
         if cut == 0 or not units[cut - 1][3]:
             return cut
         first = cut
-        while first > 0 and cut - first < overlap and starts[cut] - starts[first - 1] <= max_chars // 2:
+        while (first > 0 and cut - first < overlap and starts[cut] - starts[first - 1] <= max_chars // 2
+               and units[cut][1] - starts[first - 1] <= max_chars):
             if not units[first - 1][3] or first - 1 > 0 and not units[first - 2][3]:
                 break
             first -= 1
@@ -170,12 +172,18 @@ def split_text(text: str | None, max_lines: int = MAX_LINES, max_chars: int = MA
         if all(fits(a, b) for a, b in zip(edges, edges[1:])):
             break
         pieces += 1
-        if pieces > 2 * n:
-            edges = list(range(n + 1))
+        if pieces > n:
+            # no balanced cut fits: every piece takes as much as it can hold
+            edges = [0]
+            while edges[-1] < n:
+                stop = edges[-1] + 1
+                while stop < n and fits(edges[-1], stop + 1):
+                    stop += 1
+                edges.append(stop)
             break
     out = []
     for a, b in zip(edges, edges[1:]):
-        first = begin(a) if len(edges) <= n else a
+        first = begin(a)
         out.append(Piece(starts[first], units[b - 1][1], units[first][2], units[b - 1][2], a - first))
     return out
 

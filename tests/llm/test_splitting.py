@@ -63,3 +63,20 @@ def test_on_spark(spark):
     a = [r for r in got if r["chunk_id"] == "a"]
     assert a[0]["start_line"] == 10 and a[-1]["end_line"] == 409 and len(a) == a[0]["n_pieces"]
     assert split_chunks(df.limit(0)).count() == 0
+
+
+def test_long_lines_keep_their_overlap():
+    import random
+
+    rng = random.Random(5)
+    lost = cuts = 0
+    for _ in range(60):
+        text = "\n".join("x = 1; " * rng.choice([1, 4, 700, 900, 1500]) for _ in range(rng.randint(4, 60)))
+        pieces = split_text(text)
+        check(text, pieces, 180, 12_000, 5)
+        for p in pieces[1:]:
+            before = text[text.rfind("\n", 0, text.rfind("\n", 0, p.start)) + 1:p.start] if p.overlap_lines == 0 else ""
+            cuts += 1
+            # only a line too long to be repeated beside the next one may be left out
+            lost += p.overlap_lines == 0 and len(before) < 1_000
+    assert cuts > 100 and lost == 0
