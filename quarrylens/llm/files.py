@@ -26,3 +26,15 @@ def file_contents(files: DataFrame, file_texts: DataFrame, parts: int | None = N
         .join(records.drop("arrived_at").repartition(parts, "file_id"), "file_id")
         .select("file_id", "repository_id", "path", "language", "size", "content")
     )
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The frame as it is read, or hashed on `key` where the scan has fewer tasks than the cluster has cores.
+
+    Work per row that is much costlier than moving the row should not wait for a few
+    large row groups. Only the number of tasks depends on this, no result does.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(2 * cores, key)

@@ -11,14 +11,16 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
-from math import log
 
+import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from quarrylens.llm.files import spread
+
 #: About so many labelled documents per language are sampled (by a hash of the id), none longer than this.
 SAMPLE_DOCS = 400
 SAMPLE_MAX_CHARS = 6000
@@ -31,22 +33,34 @@ MIN_MARGIN = 0.06
 MIN_BYTES = 3
 
 _FENCE = re.compile(r"(?ms)^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\Z)")
+_QUOTES = re.compile(r"""`[^`\n]*`|"[^"\n]*"|“[^”\n]*”|„[^“”"\n]*[“”"]|«[^»\n]*»|「[^」\n]*」|『[^』\n]*』""")
 _BLANKED = re.compile(
     r"""(?x)
-    `[^`\n]*` | "[^"\n]{0,200}" | “[^”\n]{0,200}” | „[^“”"\n]{0,200}[“”"] | «[^»\n]{0,200}» | 「[^」\n]{0,200}」 | 『[^』\n]{0,200}』
-    | [A-Za-z][A-Za-z0-9_+.-]*://[!-~]+ | [A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.]+ | @[a-z]+\b(?:[ ][a-z]+$)?
+    [A-Za-z][A-Za-z0-9_+.-]*://[!-~]+ | [A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.]+ | @[a-z]+\b
     | (?<![A-Za-z0-9_/])(?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]*[A-Za-z0-9_]
     | [A-Za-z0-9_-]+\.(?:java|jsx?|tsx?|json|md|ya?ml|sql|py|xml|txt)\b
     | [A-Za-z_$][A-Za-z0-9_$]*\(\)? (?:\))? | [A-Za-z]*[a-z0-9][A-Z][A-Za-z0-9]* | [A-Za-z]+_[A-Za-z0-9_]+ | [A-Za-z_]*[0-9][A-Za-z0-9_.]*
     """,
-    re.M,
 )
+#: A name behind a mention at the end of a line belongs to it.
+_MENTION = re.compile(r"(?m)@[a-z]+[ ][a-z]+$")
+_PIECE = re.compile(r"\S+")
 _BREAK = re.compile(r"^[ \t]*(?:[-*+•>]+[ \t]+|\d+[.)][ \t]+)")
 _TITLE = re.compile(r"^[ \t]*(?:\#{1,6}[ \t]|={3,}|-{3,}[ \t]*$|v?\d+(?:\.\d+)+[ \t]*$)")
 _END = re.compile(r"[.!?…]+[\"')\]»”]*(?=\s|$)|[。！？]+[」』）]*")
+_CYRILLIC = re.compile(r"[\u0400-\u04ff]")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
 
 
+def _without_names(m: re.Match) -> str:
+    """A piece between white space with its code, paths and names blanked; most pieces are plain words."""
+    piece = m.group()
+    bare = piece.rstrip(".,;:!?")
+    if bare.isalpha() and (bare.islower() or bare.istitle()):
+        return piece
+    return _BLANKED.sub(lambda x: " " * len(x.group()), piece)
+
+
 def sentences(text: str) -> list[tuple[int, int, str, bool]]:
     """(start, end, bare text, ended by a mark) of each sentence; bare text is lower-case, without code and names.
 
@@ -54,8 +68,12 @@ def sentences(text: str) -> list[tuple[int, int, str, bool]]:
     sentence; other line ends are white space. Titles are skipped.
     """
     blank = lambda m: re.sub(r"[^\n]", " ", m.group())
-    masked = _FENCE.sub(blank, text)
-    masked = _BLANKED.sub(lambda m: " " * len(m.group()), masked)
+    masked = _FENCE.sub(blank, text) if "```" in text or "~~~" in text else text
+    spaces = lambda m: " " * len(m.group())
+    masked = _QUOTES.sub(spaces, masked)
+    if "@" in masked:
+        masked = _MENTION.sub(spaces, masked)
+    masked = _PIECE.sub(_without_names, masked)
     blocks: list[tuple[int, int]] = []
     start = None
     at = 0
@@ -109,16 +127,24 @@ def _features(bare: str) -> list[str]:
 
 def _clean(by_lang: dict[str, list[str]]) -> dict[str, list[str]]:
     """Drop sample sentences whose words speak for another language than their document's label."""
-    counts = {lang: Counter(w for s in rows for w in _features(s)) for lang, rows in by_lang.items()}
-    totals = {lang: sum(c.values()) + 1000 for lang, c in counts.items()}
-    kept: dict[str, list[str]] = defaultdict(list)
-    for lang, rows in by_lang.items():
-        for s in rows:
-            words = _features(s)
-            score = {x: sum(log((counts[x][w] + 0.1) / totals[x]) for w in words) for x in counts}
-            if words and max(score, key=score.get) == lang:
-                kept[lang].append(s)
-    return kept
+    langs = list(by_lang)
+    words: dict[str, int] = {}
+    split = {s: [words.setdefault(w, len(words)) for w in _features(s)] for rows in by_lang.values() for s in rows}
+    counts = np.zeros((max(1, len(words)), len(langs)))
+    for j, lang in enumerate(langs):
+        seen = [i for s in by_lang[lang] for i in split[s]]
+        counts[:, j] += np.bincount(np.array(seen, dtype=np.int64), minlength=len(counts))
+    weight = np.log((counts + 0.1) / (counts.sum(axis=0) + 1000))
+    best = {s: langs[int(weight[ids].sum(axis=0).argmax())] for s, ids in split.items() if ids}
+    return {lang: [s for s in rows if best.get(s) == lang] for lang, rows in by_lang.items()}
+
+
+def script(bare: str) -> str:
+    """The script most letters are of: wide (ideographs and kana), cyrillic or latin (all others)."""
+    wide = len(_WIDE.findall(bare))
+    cyrillic = len(_CYRILLIC.findall(bare))
+    rest = sum(map(str.isalpha, bare)) - wide - cyrillic
+    return max((rest, "latin"), (cyrillic, "cyrillic"), (2 * wide, "wide"))[1]
 
 
 def train(sample: list[tuple[str, str]], size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
@@ -140,14 +166,14 @@ def train(sample: list[tuple[str, str]], size: int = DICTIONARY_BYTES) -> dict[s
 
 
 class Classifier:
-    """Sizes of a sentence under every language's dictionary."""
+    """Sizes of a sentence under the dictionary of every language that is written in its script."""
 
     def __init__(self, content: dict[str, bytes], level: int = 3, cache: int = 200_000) -> None:
-        self.compressors = {}
+        self.compressors: dict[str, dict[str, zstandard.ZstdCompressor]] = defaultdict(dict)
         for lang, raw in sorted(content.items()):
             d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=level)
-            self.compressors[lang] = zstandard.ZstdCompressor(
+            self.compressors[script(raw.decode())][lang] = zstandard.ZstdCompressor(
                 dict_data=d, level=level, write_checksum=False, write_content_size=False, write_dict_id=False)
         self.cache: dict[str, tuple[str | None, float]] = {}
         self.limit = cache
@@ -158,10 +184,10 @@ class Classifier:
         if known is not None:
             return known
         result: tuple[str | None, float] = (None, 0.0)
-        if len(self.compressors) > 1 and letters(bare) >= MIN_LETTERS:
+        if letters(bare) >= MIN_LETTERS and (compressors := self.compressors.get(script(bare))):
             raw = bare.encode()
-            sizes = sorted((len(c.compress(raw)), lang) for lang, c in self.compressors.items())
-            (best, lang), (second, _) = sizes[0], sizes[1]
+            sizes = sorted((len(c.compress(raw)), lang) for lang, c in compressors.items())
+            (best, lang), (second, _) = sizes[0], sizes[1] if len(sizes) > 1 else (len(raw), "")
             margin = (second - best) / second
             result = (lang if margin >= MIN_MARGIN and second - best >= MIN_BYTES else None, margin)
         if len(self.cache) >= self.limit:
@@ -172,7 +198,8 @@ class Classifier:
     def passages(self, text: str) -> list[tuple[int, int, str, float, int]]:
         """(start, end, language, confidence, sentences): neighbouring sentences of one language together.
 
-        A sentence without a language joins the passage before it.
+        A sentence without a language ends no passage: between two sentences of one
+        language it lies inside theirs, elsewhere it belongs to none.
         """
         out: list[list] = []
         for a, b, bare, ended in sentences(text):
@@ -216,11 +243,12 @@ def identify(documents: DataFrame, names: DataFrame, sample_docs: int = SAMPLE_D
     Without labelled documents of at least two languages nothing is judged. Rows with equal ids are
     judged apart; columns other than doc_id, text and lang are ignored.
     """
-    content = train(labelled_sample(documents, names, sample_docs))
+    spark = documents.sparkSession
+    content = spark.sparkContext.broadcast(train(labelled_sample(documents, names, sample_docs)))
     holder: dict[str, Classifier] = {}
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = holder.get("m") or holder.setdefault("m", Classifier(content))
+        model = holder.get("m") or holder.setdefault("m", Classifier(content.value))
         for batch in batches:
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"], "label_lang": batch["label_lang"],
@@ -230,8 +258,7 @@ def identify(documents: DataFrame, names: DataFrame, sample_docs: int = SAMPLE_D
                     for t in batch["text"]],
             })
 
-    parts = 2 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = with_label_language(documents, names).repartition(parts, "doc_id")
+    rows = spread(with_label_language(documents, names), "doc_id")
     return rows.select("doc_id", "label_lang", "text").mapInPandas(
         judge,
         "doc_id long, label_lang string, passages array<struct<start_char:int,end_char:int,lang:string,confidence:double,n_sentences:int>>")
