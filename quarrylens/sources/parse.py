@@ -9,6 +9,7 @@ expressions the lexer takes for a division, and overloads told apart by types on
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -36,14 +37,17 @@ class Token(NamedTuple):
     end: int
 
 
-_LEX = re.compile(
-    r'''(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))
-    |(?P<string>"""(?:\\.|[^\\])*?"""|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)
-    |(?P<name>[A-Za-z_$][\w$]*)|(?P<number>\d[\w.]*)
-    |(?P<regex>(?<=[=(,:;!&|?{}\[\n])[ \t]*/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*)
-    |(?P<op>=>|\.\.\.|::|->|[^\s\w])''',
-    re.S | re.X,
-)
+_PIECES = r'''\s*(?:(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))%s
+    |(?P<string>\"\"\"(?:\\.|[^\\])*?\"\"\"|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')
+    |(?P<tick>`)|(?P<name>[A-Za-z_$][\w$]*)|(?P<number>\d[\w.]*)
+    |(?P<op>=>|\.\.\.|::|->|\S)|(?P<end>\Z))'''
+_REGEX = r"|(?P<regex>/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*)"
+_LEX_DIVIDE = re.compile(_PIECES % "", re.S | re.X)
+_LEX_REGEX = re.compile(_PIECES % _REGEX, re.S | re.X)
+_TEMPLATE = re.compile(r"(?:\\.|\$(?!\{)|[^`\\$])*", re.S)
+_CONDITIONS = frozenset(["if", "while", "for"])
+_BEFORE_VALUES = frozenset("return case typeof in of throw delete void do else instanceof".split())
+_IN_TYPES = frozenset("< > , . [ ] | & ? : { } ( ) => ;".split())
 _NOT_CALLS = frozenset("if for while switch catch return throw new typeof await super this function synchronized else do try in of "
                        "instanceof case void delete yield assert import async".split())
 _JAVA_MODIFIERS = frozenset("public protected private static abstract final native synchronized transient volatile strictfp default sealed".split())
@@ -51,20 +55,66 @@ _ES_MODIFIERS = frozenset("public protected private static abstract readonly ove
 _JAVA_TYPES = {"class": "CLASS", "interface": "INTERFACE", "enum": "ENUM", "record": "CLASS"}
 
 
-def tokenize(text: str) -> list[Token]:
-    out, line, at = [], 1, 0
-    for m in _LEX.finditer(text):
-        line += text.count("\n", at, m.start())
-        at = m.start()
-        if m.lastgroup != "comment":
-            out.append(Token(m.lastgroup, m.group().strip() if m.lastgroup == "regex" else m.group(), line, m.start(), m.end()))
-    return out
+def tokenize(text: str) -> tuple[list[Token], list[list[Token]]]:
+    """Tokens without comments, and those of each expression inside a template; a template itself is one token."""
+    ends = [m.start() for m in re.finditer("\n", text)]
+    inner: list[list[Token]] = []
+
+    def scan(at: int, nested: bool) -> tuple[list[Token], int]:
+        out: list[Token] = []
+        value, depth, parens = False, 0, []
+        while at < len(text):
+            m = (_LEX_DIVIDE if value else _LEX_REGEX).match(text, at)
+            kind, before = m.lastgroup, at
+            start, at = m.start(kind), m.end()
+            if kind in ("comment", "end"):
+                continue
+            word = m.group(kind)
+            if kind == "op":
+                depth += (word == "{") - (word == "}")
+                if nested and depth < 0:
+                    return out, at
+                if word == "(":
+                    parens.append(bool(out) and out[-1].text in _CONDITIONS)
+                value = word in ("]", "}") or word == ")" and not (parens and parens.pop())
+            elif kind == "tick":
+                while True:
+                    at = _TEMPLATE.match(text, at).end()
+                    if not text.startswith("${", at):
+                        break
+                    tokens, at = scan(at + 2, True)
+                    inner.append(tokens)
+                at = min(at + 1, len(text))
+                kind, word, value = "string", text[start:at], True
+            else:
+                value = kind != "name" or word not in _BEFORE_VALUES
+            out.append(Token(kind, word, bisect_left(ends, start) + 1, start, at))
+            if at == before:
+                at += 1
+        return out, at
+
+    return scan(0, False)[0], inner
+
+
+def _after_type_arguments(tokens: list[Token], i: int) -> int:
+    """Index behind the '>' of type arguments that begin at i; i itself if what follows is none."""
+    depth, j = 0, i
+    while j < len(tokens):
+        t = tokens[j]
+        depth += (t.text == "<") - (t.text == ">")
+        j += 1
+        if depth == 0:
+            return j
+        doubled = t.text in ("&", "|") and tokens[j - 2].text == t.text
+        if t.kind == "number" or doubled or t.kind == "op" and t.text not in _IN_TYPES:
+            return i
+    return i
 
 
 class _Scanner:
     def __init__(self, text: str) -> None:
         self.text = text
-        self.tokens = tokenize(text)
+        self.tokens, self.inner = tokenize(text)
         self.facts: list[Fact] = []
         self.partner: dict[int, int] = {}
         stack: list[int] = []
@@ -127,12 +177,20 @@ class _Scanner:
         return [*names, last] if last else names
 
     def calls(self, declared: set[int]) -> None:
-        for i, t in enumerate(self.tokens):
-            if t.kind == "name" and t.text not in _NOT_CALLS and self.at(i + 1) == "(" and i not in declared and self.at(i - 1) not in ("new", "function", "@"):
-                j = i
-                while self.at(j - 1) == "." and self.is_name(j - 2):
-                    j -= 2
-                if self.at(j - 1) not in ("new", "@"):
+        """Calls by name, over type arguments where there are some, in templates too."""
+        for tokens, known in [(self.tokens, declared), *[(t, set()) for t in self.inner]]:
+            for i, t in enumerate(tokens):
+                if t.kind != "name" or t.text in _NOT_CALLS or i in known or i and tokens[i - 1].text in ("new", "function", "@"):
+                    continue
+                j = i + 1
+                if j < len(tokens) and tokens[j].text == "<":
+                    j = _after_type_arguments(tokens, j)
+                if j >= len(tokens) or tokens[j].text != "(":
+                    continue
+                first = i
+                while first >= 2 and tokens[first - 1].text == "." and tokens[first - 2].kind == "name":
+                    first -= 2
+                if not first or tokens[first - 1].text not in ("new", "@"):
                     self.facts.append(Fact("call", t.text, "CALLS", t.line, t.line))
 
     # --- Java -------------------------------------------------------------------

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from quarrylens.functions.text import embedding_text
 from quarrylens.session import cut_lineage
 
 # Table schemas; every table but repositories is partitioned by repository_id.
@@ -37,9 +38,25 @@ class Store:
     def path(self, table: str) -> str:
         return f"{self.folder}/{table}.parquet"
 
+    def _versions(self, table: str) -> list[str]:
+        """Complete versions of a table that is replaced as a whole, oldest first."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()]
+        done = [n for n in names if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(table)}/{n}/_SUCCESS"))]
+        return sorted(n for n in done if n.startswith("v"))
+
     def read(self, table: str) -> DataFrame:
+        path = self.path(table)
+        if table == "repositories":
+            versions = self._versions(table)
+            if not versions:
+                return self.spark.createDataFrame([], SCHEMAS[table])
+            path = f"{path}/{versions[-1]}"
         try:
-            return self.spark.read.schema(SCHEMAS[table]).parquet(self.path(table))
+            return self.spark.read.schema(SCHEMAS[table]).parquet(path)
         except Exception as error:  # the table has not been written yet
             if "PATH_NOT_FOUND" not in str(error):
                 raise
@@ -49,7 +66,13 @@ class Store:
         names = [c.split()[0] for c in SCHEMAS[table].split(", ")]
         out = rows.select(*names)
         if table == "repositories":
-            cut_lineage(out).write.mode("overwrite").parquet(self.path(table))
+            # a whole new version beside the old one, which goes when the new one is complete
+            versions = self._versions(table)
+            number = int(versions[-1][1:]) + 1 if versions else 1
+            cut_lineage(out).write.parquet(f"{self.path(table)}/v{number:012d}")
+            for old in versions:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(table)}/{old}")
+                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
         else:
             cut_lineage(out).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repository_id").parquet(self.path(table))
 
@@ -134,25 +157,47 @@ class Store:
             self._write("code_chunks", joined.withColumn("embedding", F.coalesce("embedding", "fresh")).drop("fresh"))
         return n
 
-    def generate_missing(self, repository_id: str, provider, batch: int = 64) -> dict[str, int]:
-        """Embed chunks without a vector, batch by batch; a failing batch is skipped and counted."""
-        missing = self.read("code_chunks").filter((F.col("repository_id") == repository_id) & F.col("embedding").isNull()).select("id", "content")
-
+    def missing_texts(self, repository_id: str) -> DataFrame:
+        """id, text (header, blank line, content) of the chunks of a repository that have no vector."""
+        chunks = self.read("code_chunks").filter((F.col("repository_id") == repository_id) & F.col("embedding").isNull())
+        paths = self.read("files").filter(F.col("repository_id") == repository_id).select(F.col("id").alias("file_id"), "path")
+        names = self.read("symbols").filter(F.col("repository_id") == repository_id).select(F.col("id").alias("symbol_id"), "name", "type")
+        return chunks.join(paths, "file_id", "left").join(names, "symbol_id", "left").select(
+            "id", embedding_text(F.col("path"), F.col("name"), F.col("type"), F.col("start_line"), F.col("end_line"), F.col("content")).alias("text"))
+
+    def generate_missing(self, repository_id: str, provider, batch: int = 64) -> dict:
+        """Embed chunks without a vector, batch by batch: processed, created, failed, and the first failures by chunk id.
+
+        A task stops asking at its first failing batch, so that a service that is down is
+        not asked for every chunk; what it did not reach keeps no vector and counts neither
+        as processed nor as failed. Messages are those of the provider.
+        """
         def embed(frames):
             import pandas as pd
 
+            from quarrylens.functions.text import check_embedding
+
+            failed = False
             for frame in frames:
                 for at in range(0, len(frame), batch):
+                    if failed:
+                        continue
                     part = frame.iloc[at:at + batch]
                     try:
-                        yield pd.DataFrame({"id": part["id"], "embedding": provider.embed(part["content"].tolist(), "document")})
-                    except Exception:
-                        yield pd.DataFrame({"id": part["id"], "embedding": None})
-
-        made = cut_lineage(missing.mapInPandas(embed, "id string, embedding array<float>"))
+                        vectors = [check_embedding(v) for v in provider.embed(part["text"].tolist(), "document")]
+                        if len(vectors) != len(part):
+                            raise ValueError("another number of vectors than asked for")
+                        yield pd.DataFrame({"id": part["id"], "embedding": vectors, "error": None})
+                    except Exception as error:  # whatever a provider raises is reported by chunk
+                        failed = True
+                        yield pd.DataFrame({"id": part["id"], "embedding": None, "error": str(error) or type(error).__name__})
+
+        made = cut_lineage(self.missing_texts(repository_id).mapInPandas(embed, "id string, embedding array<float>, error string"))
         total = made.count()
-        created = self.save_embeddings(repository_id, made.filter("embedding IS NOT NULL"))
-        return {"processed": total, "created": created, "failed": total - created}
+        created = self.save_embeddings(repository_id, made.filter("embedding IS NOT NULL").select("id", "embedding"))
+        failures = made.filter("error IS NOT NULL")
+        return {"processed": total, "created": created, "failed": failures.count(),
+                "failures": [(r["id"], r["error"]) for r in failures.select("id", "error").orderBy("id").limit(100).collect()]}
 
     def clear_embeddings(self, repository_id: str) -> int:
         rows = cut_lineage(self.read("code_chunks").filter(F.col("repository_id") == repository_id))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -54,7 +53,7 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there, write it to the shared folder, and read it back."""
     spark = stream.sparkSession
     ensure_checkpoint_dir(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarrylens-stream-")
+    base = spark.sparkContext.getCheckpointDir()
     home = f"{base}/stream-{uuid.uuid4().hex}"
     query = (stream.writeStream.outputMode(mode).format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/state")
              .trigger(availableNow=True).start())

@@ -2,8 +2,10 @@ from datetime import datetime
 
 import pytest
 
-from quarrylens.functions.text import HashingEmbeddings, ask, check_embedding, clean_answer, clean_url, normal_path, query_tokens, upstream_status
-from quarrylens.sources.discovery import TooLarge, discover
+from quarrylens.functions.text import (
+    HashingEmbeddings, RetryingEmbeddings, UpstreamError, ask, check_embedding, clean_answer, clean_url, embed_query, hashed_client, json_rows, normal_path,
+    query_tokens, upstream_status)
+from quarrylens.sources.discovery import Limits, TooLarge, discover
 from quarrylens.sources.indexing import index_repository
 from quarrylens.sources.parse import build_chunks, extract, split_large
 from quarrylens.sources.store import InvalidRows, Store
@@ -90,6 +92,23 @@ def test_discovery(spark, tree):
     assert got == {"app/Base.java": "java", "app/Service.java": "java", "web/main.ts": "typescript", "web/lib/util.js": "javascript"}
     with pytest.raises(TooLarge):
         discover(spark, str(tree), max_files=3)
+    for limits in (Limits(bytes=10), Limits(file_bytes=10), Limits(entries=3), Limits(seconds=-1.0)):
+        with pytest.raises(TooLarge):
+            discover(spark, str(tree), limits=limits)
+    (tree / "web" / "bad.js").write_bytes(b"let a = '\xff';\n")
+    (tree / "web" / "UPPER.TS").write_text("let b = 1;\n")
+    (tree / "web" / "link.js").symlink_to(tree / "web" / "bad.js")
+    got = {r["path"]: (r["content"], r["is_valid_utf8"]) for r in discover(spark, str(tree), limits=Limits(follow_links=False)).collect()}
+    assert got["web/bad.js"] == ("let a = '\ufffd';\n", False) and got["web/UPPER.TS"][1] and "web/link.js" not in got
+    assert discover(spark, "file://" + str(tree)).count() == 7
+    empty = tree.parent / "empty"
+    empty.mkdir()
+    assert discover(spark, str(empty)).count() == 0
+
+
+def test_calls_over_type_arguments_and_in_templates():
+    text = "function a() {\n  foo<Bar>(x);\n  const s = `v ${baz(1)} ${`n ${deep()}`}`;\n  if (a) /\"/.test(y);\n  last(\"z\");\n  if (i < n && k > (m)) z();\n}\n"
+    assert sorted((f.name, f.start_line) for f in facts("a.ts", text, "call")) == [("baz", 3), ("deep", 3), ("foo", 2), ("last", 5), ("test", 4), ("z", 6)]
 
 
 def test_indexing_end_to_end(spark, tree, tmp_path):
@@ -108,6 +127,15 @@ def test_indexing_end_to_end(spark, tree, tmp_path):
     other = index_repository(spark, store, "second", str(tree), "2026-01-03 00:00:00")
     assert store.table_sizes(other["repository_id"])["symbols"] == first["symbols"]
     rid = first["repository_id"]
+    heads = [r["text"] for r in store.missing_texts(rid).collect()]
+    assert len(heads) == first["chunks"] and all(h.startswith("File: ") and "\n\n" in h for h in heads)
+
+    class Down:
+        def embed(self, texts, purpose):
+            raise RuntimeError("service is down")
+
+    broken = store.generate_missing(rid, Down(), batch=2)
+    assert broken["created"] == 0 and broken["failed"] == broken["processed"] > 0 and broken["failures"][0][1] == "service is down"
     done = store.generate_missing(rid, HashingEmbeddings())
     assert done["created"] == first["chunks"] and store.generate_missing(rid, HashingEmbeddings())["processed"] == 0
     assert store.clear_embeddings(rid) == first["chunks"]
@@ -149,19 +177,62 @@ def test_text_functions(spark):
     assert got[1]["n"] is None and got[2]["n"] == "" and got[2]["t"] == []
     assert clean_url("https://u:p@h.example:8080/x?token=1&a=2#f") == "https://h.example:8080/x?a=2"
     assert "403" in upstream_status("provider said 403 with key=abc") and "abc" not in upstream_status("provider said 403 with key=abc")
-    known = {"chunk:1": "a.ts:1-2"}
-    assert clean_answer("See [chunk:1] and [chunk:9] in src/a.ts:4.", known) == "See [chunk:1] and in .\n\nSources:\n- [chunk:1] a.ts:1-2"
+    assert clean_url("https://h.example/x?client_secret=1&access_key=2&b=3") == "https://h.example/x?b=3"
+    assert clean_url("git@host.example:a/b.git?token=x#y") == "git@host.example:a/b.git" and clean_url("no address") == "[hidden-url]"
+    assert clean_url("ssh://git:pw@h.example/x") == "ssh://git@h.example/x" and clean_url("https://h:bad/x") == "[hidden-url]"
+    assert hashed_client("1.2.3.4", "s") == hashed_client("1.2.3.4", "s") != hashed_client(None, "s") and len(hashed_client("a", "b")) == 64
+    assert [r["json"] for r in json_rows(spark.createDataFrame([(1, None)], "a int, b string")).collect()] == ['{"a":1,"b":null}']
+
+
+CHUNK_EVIDENCE = {"id": "chunk:1", "kind": "CHUNK", "symbol": "run", "path": "a.ts", "start": 1, "end": 2}
+EDGE_EVIDENCE = {"id": "relationship:2", "kind": "RELATIONSHIP", "symbol": "run", "path": "a.ts", "start": 1, "end": 2}
+
+
+def test_answers():
+    said = clean_answer("See [chunk:1], [relationship:2]  and [chunk:9] in a.ts:4.", [CHUNK_EVIDENCE, EDGE_EVIDENCE])
+    assert said == "See [chunk:1], [relationship:2] and in .\n\nVerified sources:\n- [1] run — a.ts:1-2"
 
     class Echo:
         asked = 0
 
         def generate(self, system, prompt):
             self.asked += 1
-            return "yes [chunk:1]"
+            return "yes"
 
     llm = Echo()
-    assert "no evidence" in ask("q", [], llm) and llm.asked == 0
-    assert ask("q", [{"id": "chunk:1", "block": "x", "place": "a:1"}], llm).endswith("- [chunk:1] a:1")
+    empty = ask("q", [], "", llm)
+    assert empty["insufficient_evidence"] and empty["citations"] == [] and llm.asked == 0
+    got = ask("q", [EDGE_EVIDENCE, CHUNK_EVIDENCE], "x", llm)
+    assert got["answer"].endswith("- [1] run — a.ts:1-2") and [c["id"] for c in got["citations"]] == ["chunk:1"] and llm.asked == 1
+
+
+def test_retrying_embeddings():
+    answers: list = [OSError("reset by peer, key=K"), UpstreamError("busy K", 429, 3.0), [[1.0], [2.0]]]
+    seen, waits = [], []
+
+    def send(texts, timeout):
+        seen.append(texts)
+        answer = answers.pop(0)
+        if isinstance(answer, Exception):
+            raise answer
+        return answer
+
+    provider = RetryingEmbeddings(send, "K", wait=waits.append)
+    assert provider.embed(["a", "b"], "query") == [[1.0], [2.0]] and waits == [0.25, 3.0] and seen[0][0] == "task: code retrieval | query: a"
+    assert provider.embed([]) == []
+    for failures, status in (([UpstreamError("no K", 403)], 403), ([UpstreamError("later", 503, 500.0)], 503), ([OSError("K down")] * 3, None)):
+        answers[:] = failures
+        with pytest.raises(UpstreamError) as error:
+            provider.embed(["a"])
+        assert error.value.status == status and "K" not in str(error.value) and not answers
+    answers[:] = [[[1.0, 0.0]]]
+    assert embed_query(provider, "x", 2) == [1.0, 0.0]
+    answers[:] = [[[0.0, 0.0]]]
+    with pytest.raises(ValueError):
+        embed_query(provider, "x", 2)
+
+
+def test_vectors():
     v = HashingEmbeddings().embed(["loadSession twice", ""])
     assert all(abs(sum(x * x for x in e) - 1) < 1e-9 for e in v) and check_embedding(v[0]) == v[0]
     with pytest.raises(ValueError):
