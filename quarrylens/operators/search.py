@@ -3,26 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quarrylens.functions.text import evidence_block, query_tokens, utf16_length
-from quarrylens.operators.traversal import Graph, expand
+from quarrylens.operators.traversal import Graph, check_depth, expand
 from quarrylens.session import cut_lineage
 
 DIMENSION = 384
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity of two numeric arrays in double precision."""
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-
-    x, y = a.cast("array<double>"), b.cast("array<double>")
-    return dot(x, y) / F.sqrt(dot(x, x) * dot(y, y))
-
-
 def usable(vector: Column, dimension: int = DIMENSION) -> Column:
     """Exactly `dimension` finite numbers, not all zero."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -34,17 +28,110 @@ def semantic_top(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
 
     queries: query_id, repository_id, vector; chunks: id, repository_id, vector.
     Every query meets all chunks of its repository; ties go to the smaller id.
-    Unusable vectors on either side take no part.
+    Unusable vectors on either side take no part. Queries travel to the chunks in
+    broadcast batches of QUERY_BATCH; a task scores its chunks by matrix products and
+    hands on k rows a query, so vectors of chunks are never shuffled.
     """
     if not 1 <= k <= 50:
         raise ValueError("k must be between 1 and 50")
-    q = queries.filter(usable(F.col("vector"))).select("query_id", "repository_id", F.col("vector").alias("q"))
-    c = chunks.filter(usable(F.col("vector"))).select("id", "repository_id", "vector")
-    scored = c.join(q, "repository_id").select("query_id", F.col("id").alias("chunk_id"), cosine(F.col("q"), F.col("vector")).alias("similarity"))
-    # rounded before ranking, so that the order does not hang on the last bits
-    scored = scored.withColumn("similarity", F.round("similarity", 9))
+    spark = chunks.sparkSession
+    asked = cut_lineage(queries.filter(usable(F.col("vector"))).select("query_id", "repository_id", F.col("vector").cast("array<double>").alias("vector")))
+    c = chunks.filter(usable(F.col("vector"))).select("id", "repository_id", F.col("vector").cast("array<double>").alias("vector"))
+    parts = max(1, -(-asked.count() // QUERY_BATCH))
+    found = []
+    for part in range(parts):
+        batch = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part) if parts > 1 else asked
+        by_repository: dict[str, tuple[list, list]] = {}
+        for row in batch.collect():
+            ids, rows = by_repository.setdefault(row["repository_id"], ([], []))
+            ids.append(row["query_id"])
+            rows.append(row["vector"])
+        blocks = {r: (np.array(ids, dtype=object), _unit(np.array(rows))) for r, (ids, rows) in by_repository.items() if r is not None}
+        found.append(c.mapInArrow(_scored(spark.sparkContext.broadcast(blocks), k), "query_id string, chunk_id string, similarity double"))
     w = W.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+#: Queries whose vectors are broadcast together (15 MB).
+QUERY_BATCH = 5_000
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def _scored(shared, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, list[tuple[float, str]]] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            repositories = np.array(batch.column("repository_id").to_pylist(), dtype=object)
+            ids = np.array(batch.column("id").to_pylist(), dtype=object)
+            x = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            for repository in set(repositories) & set(shared.value):
+                at = np.flatnonzero(repositories == repository)
+                names, q = shared.value[repository]
+                # rounded before ranking, so that the order does not hang on the last bits
+                scores = np.round(q @ _unit(x[at]).T, 9)
+                for row, name in enumerate(names):
+                    near = at if len(at) <= k else at[scores[row] >= np.partition(scores[row], -k)[-k]]
+                    values = scores[row] if len(at) <= k else scores[row][scores[row] >= np.partition(scores[row], -k)[-k]]
+                    best = sorted([*kept.get(name, ()), *((-float(v), str(i)) for v, i in zip(values, ids[near]))])
+                    kept[name] = best[:k]
+        rows = [(name, i, -v) for name, best in kept.items() for v, i in best]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64())],
+            names=["query_id", "chunk_id", "similarity"])
+
+    return run
+
+
+def search(queries: DataFrame, graph: Graph, chunks: DataFrame, mode: str, k: int = 6, depth: int = 1) -> DataFrame:
+    """query_id, evidence_id, rank, similarity, semantic_available, effective_depth of each query in one mode.
+
+    semantic: the k most similar chunks; a query without a usable vector falls back to
+    structural evidence and says so. structural: as `structural_search`, where
+    semantic_available is null. hybrid: all evidence by score; its depth is at most 2.
+    """
+    if mode not in ("semantic", "structural", "hybrid"):
+        raise ValueError("mode is semantic, structural or hybrid")
+    check_depth(depth)
+    can = usable(F.col("vector"))
+    if mode == "hybrid":
+        effective = min(depth, 2)
+        rows = hybrid_evidence(queries, graph, chunks, k, effective)
+        w = W.partitionBy("query_id").orderBy(F.desc("score"), "evidence_id")
+        ranked = rows.select("query_id", "evidence_id", F.row_number().over(w).alias("rank"), "similarity")
+        return ranked.join(queries.select("query_id", F.coalesce(can, F.lit(False)).alias("semantic_available")), "query_id").withColumn(
+            "effective_depth", F.lit(effective))
+    blind = queries if mode == "structural" else queries.filter(~F.coalesce(can, F.lit(False)))
+    flag = F.lit(None).cast("boolean") if mode == "structural" else F.lit(False)
+    structural = structural_search(blind, graph, chunks.drop("vector"), k, depth).select(
+        "query_id", "evidence_id", "rank", F.lit(None).cast("double").alias("similarity"), flag.alias("semantic_available"))
+    if mode == "structural":
+        return structural.withColumn("effective_depth", F.lit(depth))
+    semantic = semantic_top(queries, chunks, k).select(
+        "query_id", F.concat(F.lit("chunk:"), "chunk_id").alias("evidence_id"), "rank", "similarity", F.lit(True).alias("semantic_available"))
+    return semantic.unionByName(structural).withColumn("effective_depth", F.lit(depth))
+
+
+def pruned_result(evidence: DataFrame, packed: DataFrame, graph: Graph) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(relationships, symbols, summary) of what the packed context holds.
+
+    relationships: query_id, edge_id of the edges whose evidence was packed. symbols:
+    query_id, symbol_id of packed evidence and of the ends of packed edges. summary:
+    query_id, n_evidence, n_selected, context_chars, truncated (some evidence did not fit).
+    """
+    chosen = cut_lineage(evidence.select("query_id", "evidence_id", "kind", "symbol_id").join(packed.select("query_id", "evidence_id"), ["query_id", "evidence_id"]))
+    relationships = chosen.filter("kind = 'RELATIONSHIP'").select("query_id", F.substring("evidence_id", len("relationship:") + 1, 1 << 30).alias("edge_id"))
+    ends = graph.edges.select(F.col("id").alias("edge_id"), F.explode(F.array("source_symbol_id", "target_symbol_id")).alias("symbol_id"))
+    symbols = chosen.filter("symbol_id IS NOT NULL").select("query_id", "symbol_id").unionByName(
+        relationships.join(ends, "edge_id").select("query_id", "symbol_id")).distinct()
+    all_ = evidence.groupBy("query_id").agg(F.count("*").alias("n_evidence"))
+    some = packed.groupBy("query_id").agg(F.count("*").alias("n_selected"), F.max("chars_so_far").alias("context_chars"))
+    summary = all_.join(some, "query_id", "left").na.fill(0, ["n_selected", "context_chars"]).withColumn("truncated", F.col("n_selected") < F.col("n_evidence"))
+    return relationships, symbols, summary
 
 
 def name_matches(queries: DataFrame, symbols: DataFrame, limit: int = 8) -> DataFrame:
@@ -54,12 +141,21 @@ def name_matches(queries: DataFrame, symbols: DataFrame, limit: int = 8) -> Data
     is a wildcard of the part match. queries: query_id, repository_id, text.
     """
     q = queries.select("query_id", "repository_id", query_tokens(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0)
+    t = q.select("query_id", "repository_id", F.posexplode("tokens").alias("place", "token")).withColumn("place", F.col("place") + 1)
     s = symbols.select(F.col("id").alias("symbol_id"), "repository_id", F.lower("name").alias("name"), "start_line")
-    exact = F.array_contains("tokens", F.col("name"))
-    part = F.exists("tokens", lambda t: (F.length(t) >= 4) & F.like(F.col("name"), F.concat(F.lit("%"), t, F.lit("%"))))
-    place = F.coalesce(F.nullif(F.array_position("tokens", F.col("name")), F.lit(0)), F.lit(999))
-    found = s.join(q, "repository_id").filter(exact | part).select(
-        "query_id", "repository_id", "symbol_id", (~exact).cast("int").alias("inexact"), place.alias("place"), "start_line")
+    exact = s.join(t.withColumnRenamed("token", "name"), ["repository_id", "name"]).select("query_id", "repository_id", "symbol_id", "place", "start_line")
+    # a part match holds the token's first four letters without a wildcard; names are looked up by their parts of four
+    part = t.filter(F.length("token") >= 4).withColumn("gram", F.regexp_extract("token", "[a-z0-9$]{4}", 0))
+    grams = s.filter(F.length("name") >= 4).withColumn("gram", F.explode(F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length("name") - 3), lambda i: F.substring(F.col("name"), i, F.lit(4))))))
+    held = F.like(F.col("name"), F.concat(F.lit("%"), F.col("token"), F.lit("%")))
+    far = F.lit(999)
+    inside = grams.join(part.filter("gram <> ''").select("query_id", "repository_id", "token", "gram"), ["repository_id", "gram"]).filter(held)
+    # tokens whose letters all stand beside wildcards have no such part and meet every name of their repository
+    loose = s.join(part.filter("gram = ''").select("query_id", "repository_id", "token"), "repository_id").filter(held)
+    columns = ["query_id", "repository_id", "symbol_id", far.alias("place"), "start_line"]
+    found = exact.unionByName(inside.select(*columns)).unionByName(loose.select(*columns)).groupBy("query_id", "repository_id", "symbol_id", "start_line").agg(
+        F.min("place").alias("place")).withColumn("inexact", (F.col("place") == far).cast("int"))
     w = W.partitionBy("query_id").orderBy("inexact", "place", "start_line", "symbol_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("query_id", "repository_id", "symbol_id", "rank")
 

@@ -96,6 +96,25 @@ def trace(graph: Graph, seeds: DataFrame, direction: str, depth: int, types: lis
     return reduce(DataFrame.unionByName, hits)
 
 
+def chains(graph: Graph, seeds: DataFrame, direction: str, depth: int, types: list[str] | None = None) -> DataFrame:
+    """query_id, end_id, depth, path of every simple path of at most `depth` edges that leaves a query's seed.
+
+    A path names each symbol once. Parallel edges between two symbols make one path.
+    The number of paths is that of the answer; unlike `trace`, none is left out.
+    """
+    check_depth(depth)
+    edges = graph.directed(direction, types or ["CALLS"]).select("repository_id", "at", "near").distinct()
+    paths = cut_lineage(seeds.select("query_id", "repository_id", F.col("symbol_id").alias("at"), F.array("symbol_id").alias("path")))
+    found: list[DataFrame] = []
+    for level in range(1, depth + 1):
+        paths = cut_lineage(paths.join(edges, ["repository_id", "at"]).filter(~F.array_contains("path", F.col("near"))).select(
+            "query_id", "repository_id", F.col("near").alias("at"), F.array_append("path", F.col("near")).alias("path")))
+        found.append(paths.select("query_id", F.col("at").alias("end_id"), F.lit(level).alias("depth"), "path"))
+        if paths.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found)
+
+
 def expand(graph: Graph, seeds: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
     """(symbols: query_id, symbol_id, depth; edges: query_id, edge_id) of the undirected neighbourhood, seeds included.
 

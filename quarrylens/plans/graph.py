@@ -86,13 +86,30 @@ def impact_flags(spark: SparkSession, d: str) -> DataFrame:
     return _evidence(spark, d)[2]
 
 
+def most_implemented(m: CodeModel) -> DataFrame:
+    """The symbol of each repository with the most edges of IMPLEMENTS and EXTENDS into it, ties to the smaller id."""
+    into = m.edges.filter(F.col("type").isin("IMPLEMENTS", "EXTENDS") & (F.col("source_symbol_id") != F.col("target_symbol_id"))).groupBy(
+        "repository_id", F.col("target_symbol_id").alias("symbol_id")).agg(F.count("*").alias("n"))
+    return into.groupBy("repository_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "symbol_id")).alias("m")).select(
+        F.col("repository_id").alias("query_id"), "repository_id", "m.symbol_id")
+
+
+def call_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Every simple chain of at most three calls from the symbol of each repository that calls most."""
+    m = CodeModel(spark, d)
+    found = T.chains(graph_of(m), most_calling(m), "OUTGOING", 3)
+    return found.select("query_id", "end_id", "depth", F.array_join("path", ">").alias("path"))
+
+
 def impact_implementations(spark: SparkSession, d: str) -> DataFrame:
-    return T.implementations(_evidence(spark, d)[1]).select("query_id", "symbol_id", "category", "relationship_type", F.size("paths").alias("n_paths"))
+    m = CodeModel(spark, d)
+    rows, _ = T.impact(graph_of(m), most_implemented(m), 1)
+    return T.implementations(rows).select("query_id", "symbol_id", "category", "relationship_type", F.size("paths").alias("n_paths"))
 
 
 QUERIES = {f.__name__: f for f in (
     callers, callees, expand_symbols, expand_edges, shortest_path, shortest_path_steps, impact_symbols, impact_files, impact_flags,
-    impact_implementations)}
+    impact_implementations, call_chains)}
 
 
 def _seeds(end: str) -> str:
@@ -130,6 +147,15 @@ _IMPACT = _bfs(_IN, "source_symbol_id", "target_symbol_id", 3) + """, ev AS (
 """
 
 ORACLE = {
+    "call_chains": MODEL_SQL + f""", seed AS ({_OUT}), e AS (SELECT DISTINCT repository_id AS r, source_symbol_id AS a, target_symbol_id AS b FROM ce WHERE type = 'CALLS'),
+w(q, s, depth, path) AS (SELECT q, s, 0, [s] FROM seed UNION ALL SELECT w.q, e.b, w.depth + 1, list_append(w.path, e.b) FROM w JOIN e ON e.r = w.q AND e.a = w.s
+  WHERE w.depth < 3 AND NOT list_contains(w.path, e.b))
+SELECT q AS query_id, s AS end_id, CAST(depth AS INTEGER) AS depth, array_to_string(path, '>') AS path FROM w WHERE depth > 0""",
+    "impact_implementations": MODEL_SQL + """, i AS (SELECT * FROM ce WHERE type IN ('IMPLEMENTS', 'EXTENDS') AND source_symbol_id <> target_symbol_id),
+seed AS (SELECT repository_id AS q, arg_min(s, (-n, s)) AS s FROM (SELECT repository_id, target_symbol_id AS s, count(*) AS n FROM i GROUP BY ALL) GROUP BY 1)
+SELECT q AS query_id, i.source_symbol_id AS symbol_id, CASE WHEN bool_or(type = 'EXTENDS') THEN 'subclass' ELSE 'implementor' END AS category,
+  CASE WHEN bool_or(type = 'EXTENDS') THEN 'EXTENDS' ELSE 'IMPLEMENTS' END AS relationship_type, CAST(count(*) AS INTEGER) AS n_paths
+FROM seed JOIN i ON i.repository_id = seed.q AND i.target_symbol_id = seed.s GROUP BY 1, 2""",
     "callers": _trace_sql(_IN, "source_symbol_id", "target_symbol_id", 3),
     "callees": _trace_sql(_OUT, "target_symbol_id", "source_symbol_id", 3),
     "expand_symbols": MODEL_SQL + _BOTH.format(seed=_IN) + "SELECT q AS query_id, s AS symbol_id, CAST(depth AS INTEGER) AS depth FROM x",

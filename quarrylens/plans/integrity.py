@@ -38,6 +38,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Everything about each symbol's place but the numbers of its range."""
+    return p4_ranges(spark, d).drop("lft", "rgt")
+
+
+def p4_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """As `p4_tree`, with each symbol's range; siblings are numbered by a hash of their ids, which SQL has not."""
     tree = build_hierarchy(symbol_nodes(spark, d))
     return tree.select(
         F.col("id").alias("symbol_id"), F.col("root_id").alias("root_symbol_id"), "depth",
@@ -64,7 +70,7 @@ def p4_cycles(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p3_found": p3_found, "p3_report": p3_report,
-    "p4_found": p4_found, "p4_tree": p4_tree, "p4_paths": p4_paths, "p4_descendants": p4_descendants, "p4_cycles": p4_cycles,
+    "p4_found": p4_found, "p4_tree": p4_tree, "p4_ranges": p4_ranges, "p4_paths": p4_paths, "p4_descendants": p4_descendants, "p4_cycles": p4_cycles,
 }
 
 _CID = "lower(trim({0}, e' \\t\\r\\n'))"
@@ -125,5 +131,9 @@ FROM t LEFT JOIN n ON n.a = t.id WHERE NOT looped""",
     "p4_cycles": _TREE + """SELECT root_id AS cycle_id, count(*) FILTER (WHERE list_position(path, path[-1]) = 1) AS n_on_cycle, count(*) AS n_symbols
 FROM t WHERE looped GROUP BY 1""",
     "p4_descendants": _TREE + """SELECT u.a AS ancestor_id, t.id AS descendant_id, CAST(list_position(path, u.a) - 1 AS INTEGER) AS distance
-FROM t, UNNEST(path[2:]) AS u(a) WHERE NOT looped""",
+FROM (SELECT id, CASE WHEN looped THEN path[:list_position(path, path[-1])] ELSE path END AS path FROM t) t, UNNEST(path[2:]) AS u(a)""",
+    "p4_tree": _TREE + """, tp AS (SELECT id, root_id, looped, path, CASE WHEN looped THEN path[:list_position(path, path[-1])] ELSE path END AS up FROM t),
+n AS (SELECT u.a, count(*) AS n FROM tp, UNNEST(up[2:]) AS u(a) GROUP BY 1)
+SELECT id AS symbol_id, root_id AS root_symbol_id, CAST(CASE WHEN looped THEN -1 ELSE len(path) - 1 END AS INTEGER) AS depth,
+  CASE WHEN NOT looped THEN array_to_string(list_reverse(path), '/') END AS path, coalesce(n.n, 0) AS n_descendants, up[-1] AS tree_id FROM tp LEFT JOIN n ON n.a = tp.id""",
 }

@@ -39,7 +39,18 @@ _W = """WITH w AS (SELECT event_id, user_id, event_type, ts, time_bucket(INTERVA
 row_number() OVER (PARTITION BY user_id, event_type, time_bucket(INTERVAL 1 DAY, ts) ORDER BY ts, event_id) AS request_no FROM events WHERE ts IS NOT NULL)
 """
 
+_ANCHORED = """WITH RECURSIVE e AS (SELECT event_id, CAST(user_id AS VARCHAR) AS key, epoch_us(ts) AS us,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no FROM events WHERE ts IS NOT NULL),
+f(key, no, event_id, ends, used, rejected) AS (
+  SELECT key, no, event_id, us + 43200000000, 1, false FROM e WHERE no = 1
+  UNION ALL SELECT e.key, e.no, e.event_id, CASE WHEN f.ends <= e.us THEN e.us + 43200000000 ELSE f.ends END,
+    CASE WHEN f.ends <= e.us THEN 1 WHEN f.used >= 2 THEN f.used ELSE f.used + 1 END, f.ends > e.us AND f.used >= 2
+  FROM f JOIN e ON e.key IS NOT DISTINCT FROM f.key AND e.no = f.no + 1)
+SELECT event_id, key, rejected FROM f"""
+
 ORACLE = {
+    "anchored_rates": _ANCHORED,
+    "stream_anchored_rates": _ANCHORED,
     "rate_windows": _W + """SELECT event_id, user_id, event_type, ts, window_start, request_no, request_no > 1 AS rejected,
 CAST(greatest(ceil((epoch_us(window_start) + 86400000000 - epoch_us(ts)) / 1000000.0), 1) AS BIGINT) AS retry_after FROM w""",
     "rate_rejects": _W + """SELECT event_type, window_start, count(*) AS n_requests, count(*) FILTER (WHERE request_no > 1) AS n_rejected FROM w GROUP BY 1, 2""",

@@ -46,6 +46,12 @@ def test_trace_batch(spark, graph):
         T.trace(graph, seeds(spark, "a"), "OUTGOING", 1, ["USES"])
 
 
+def test_chains(spark, graph):
+    got = {(r["query_id"], tuple(r["path"])) for r in T.chains(graph, seeds(spark, "e", "twin"), "OUTGOING", 3).collect()}
+    assert got == {("e", p) for p in [("e", "b"), ("e", "d"), ("e", "b", "c"), ("e", "d", "c"), ("e", "b", "c", "a"), ("e", "d", "c", "a")]}
+    assert all(len(r["path"]) == r["depth"] + 1 and r["path"][-1] == r["end_id"] for r in T.chains(graph, seeds(spark, "c"), "INCOMING", 5).collect())
+
+
 def test_expand(spark, graph):
     s, e = T.expand(graph, seeds(spark, "a"), 1)
     assert {r["symbol_id"] for r in s.collect()} == {"a", "b", "c"} and e.count() == 2

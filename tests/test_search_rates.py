@@ -57,6 +57,40 @@ def test_hybrid_and_packing(spark, world):
     assert packed == [("q", "a", 600), ("q", "c", 902)]
 
 
+def test_names_by_parts(spark, world):
+    graph = world[0]
+    asked = spark.createDataFrame([("a", "r", "pay_ent", None), ("b", "r", "a_b_c_d_", None), ("c", "r", "ervice helper", None), ("d", "r", "hel", None)],
+                                  "query_id string, repository_id string, text string, vector array<double>")
+    got = {(r["query_id"], r["symbol_id"]): r["rank"] for r in S.name_matches(asked, graph.symbols).collect()}
+    assert got == {("a", "s1"): 1, ("c", "s2"): 1, ("c", "s1"): 2}
+
+
+def test_search_modes(world):
+    graph, chunks, queries = world
+    def run(mode, depth=1):
+        return {(r["query_id"], r["evidence_id"]): (r["semantic_available"], r["effective_depth"]) for r in S.search(queries, graph, chunks, mode, 2, depth).collect()}
+    semantic = run("semantic")
+    assert {e for q, e in semantic if q == "x"} == {"chunk:c1", "chunk:c2"} and semantic["x", "chunk:c1"] == (True, 1)
+    assert semantic["none", "chunk:c1"] == (False, 1) and semantic["none", "relationship:e1"] == (False, 1)
+    assert {v for v in run("structural").values()} == {(None, 1)}
+    hybrid = run("hybrid", 4)
+    assert hybrid["x", "chunk:c1"] == (True, 2) and hybrid["none", "chunk:c2"] == (False, 2)
+    with pytest.raises(ValueError):
+        S.search(queries, graph, chunks, "other")
+
+
+def test_pruned_result(spark, world):
+    graph, chunks, queries = world
+    evidence = S.hybrid_evidence(queries, graph, chunks, k=1)
+    packed = spark.createDataFrame([("x", "chunk:c1", 1, 100), ("x", "relationship:e2", 2, 150)], "query_id string, evidence_id string, position int, chars_so_far long")
+    edges, symbols, summary = S.pruned_result(evidence.unionByName(evidence.filter("evidence_id = 'relationship:e1' AND query_id = 'x'").replace(
+        "relationship:e1", "relationship:e2", ["evidence_id"])), packed, graph)
+    assert [tuple(r) for r in edges.collect()] == [("x", "e2")]
+    assert {tuple(r) for r in symbols.collect()} >= {("x", "s1"), ("x", "s2"), ("x", "s3")}
+    got = {r["query_id"]: (r["n_selected"], r["context_chars"], r["truncated"]) for r in summary.collect()}
+    assert got["x"] == (2, 150, True) and got["none"] == (0, 0, True)
+
+
 def events(spark, rows):
     start = datetime(2026, 1, 1)
     return spark.createDataFrame([(i, None if s is None else start + timedelta(seconds=s), u) for i, s, u in rows], "event_id long, ts timestamp_ntz, user_id long")
