@@ -196,6 +196,7 @@ def hybrid_evidence(queries: DataFrame, graph: Graph, chunks: DataFrame, k: int
     structural = of_chunk.join(everything, "symbol_id").join(matched, ["query_id", "symbol_id"], "left").select(
         "query_id", "id", F.coalesce("matched", F.lit(False)).alias("matched"))
     both = semantic.join(structural, ["query_id", "id"], "full")
+    # The scores of evidence by how it was found.
     is_semantic, is_structural = F.col("similarity").isNotNull(), F.col("matched").isNotNull()
     score = F.when(is_semantic, 1 + F.greatest(F.lit(0.0), F.col("similarity")) + F.when(is_structural, 0.35).otherwise(0.0)).otherwise(
         F.when(F.col("matched"), 0.8).otherwise(0.55))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quarrylens.operators.records import canonical_id, latest_versions
 from quarrylens.session import load
 
+# Kinds of edges and symbols.
 RELATIONSHIP_TYPES = ("CALLS", "EXTENDS", "IMPLEMENTS", "IMPORTS")
 SYMBOL_TYPES = ("CLASS", "CONSTRUCTOR", "ENUM", "FIELD", "FUNCTION", "INTERFACE", "METHOD", "VARIABLE")
 CONTAINER_TYPES = ("CLASS", "INTERFACE", "ENUM")
