@@ -225,10 +225,10 @@ def cross_repository_containment(profiles: DataFrame, min_containment: float = M
             F.max("in_vendor_dir").alias("some_vendor"), F.min("in_vendor_dir").alias("all_vendor")))
     spread = classes.groupBy("class_id").agg(F.min("repo").alias("low"), F.max("repo").alias("high"))
     postings = classes.select("class_id", "repo", F.explode("keys").alias("key"))
-    per_repo = postings.groupBy("key", "repo").agg(F.min("class_id").alias("class_id"))
+    # the classes of the least and of the greatest repository that hold a key: all keys of a library name the same two
     index = (
-        per_repo.groupBy("key")
-        .agg(F.min(F.struct("class_id", "repo")).alias("a"), F.max(F.struct("class_id", "repo")).alias("b"))
+        postings.groupBy("key")
+        .agg(F.min(F.struct("repo", "class_id")).alias("a"), F.max(F.struct("repo", "class_id")).alias("b"))
         .filter("a.repo <> b.repo")
     )
     # every class votes, key by key, for a class outside its repository
