@@ -99,8 +99,10 @@ def mix(documents: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKE
         [(s, have[s][0], float(budget[s]), int(wanted[s][1]), blocks[s]) for s in wanted],
         "source string, available long, budget double, max_repeats int, n_blocks long"))
     placed = _positions(counted, sum(n for _, n in have.values())).join(plan, "source")
-    times = F.sequence(F.lit(0), F.col("max_repeats") - 1)
-    repeated = placed.withColumn("pass", F.explode(times)).withColumn("at", F.col("pass") * F.col("available") + F.col("start")).filter(
+    # no more passes are made than reach into the budget; the test of the middle decides on the last one
+    reach = F.floor((F.col("budget") - F.col("n_tokens") / 2 - F.col("start")) / F.col("available")) + 1
+    last = F.least(F.col("max_repeats") - 1, reach).cast("int")
+    repeated = placed.withColumn("last", last).filter("last >= 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("last")))).withColumn("at", F.col("pass") * F.col("available") + F.col("start")).filter(
         F.col("at") + F.col("n_tokens") / 2 <= F.col("budget"))
     numbered = repeated.withColumn("block", F.least(F.floor(F.col("at") / F.lit(block)).cast("long"), F.col("n_blocks") - 1))
     return numbered.join(F.broadcast(slots), ["source", "block"]).select(

@@ -58,11 +58,12 @@ def bucket_bounds(histogram: dict[int, int], buckets: int) -> list[int]:
     return sorted(bounds)
 
 
-def pack_items(lengths: list[int], bounds: list[int], capacity: int) -> list[int]:
+def pack_items(lengths: list[int], bounds: list[int], capacity: int, top_up: bool = True) -> list[int]:
     """Container number of each item; no container holds more than `capacity`.
 
     Items of a bucket are taken in the order given. A container opened in a bucket
-    takes items of that bucket while they fit, then items of the longest bucket whose bound fits.
+    takes items of that bucket while they fit, then, if `top_up`, items of the longest
+    shorter bucket whose next one fits.
     """
     edges = np.array(bounds)
     queues: list[list[int]] = [[] for _ in bounds]
@@ -82,8 +83,10 @@ def pack_items(lengths: list[int], bounds: list[int], capacity: int) -> list[int
                     item = q.pop()
                     out[item] = number
                     room -= lengths[item]
-                else:
+                elif top_up:
                     level -= 1
+                else:
+                    break
     return out
 
 
@@ -97,13 +100,14 @@ def container_pieces(counted: DataFrame, capacity: int) -> DataFrame:
 
 
 def pack(documents: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS, vocabulary: str | None = None,
-         shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+         shard_tokens: int = SHARD_TOKENS, top_up: bool = True) -> DataFrame:
     """doc_id, piece_no, token_start, n_tokens, container_id, container_tokens, fill of every piece.
 
     Every document is placed; one without tokens (empty or null text) takes a place of
     size 0. Documents with equal ids are separate items. An item is divided
     only if it exceeds the capacity, then into full containers and a rest. An empty
     input gives an empty result; columns other than doc_id and text are ignored.
+    Without `top_up` every container holds items of one bucket only.
     """
     pieces = cut_lineage(container_pieces(token_counts(documents, vocabulary=vocabulary), capacity))
     histogram = {r["n_tokens"]: r["count"] for r in pieces.groupBy("n_tokens").count().collect()}  # at most capacity + 1 rows
@@ -113,7 +117,7 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS,
 
     def fill(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc_id", "piece_no"], kind="stable", ignore_index=True)
-        local = np.array(pack_items(group["n_tokens"].tolist(), bounds, capacity), dtype=np.int64)
+        local = np.array(pack_items(group["n_tokens"].tolist(), bounds, capacity, top_up), dtype=np.int64)
         used = np.bincount(local, weights=group["n_tokens"].to_numpy(dtype=np.float64)).astype(np.int64)
         group["container_id"] = local * shards + int(key[0])
         group["container_tokens"] = used[local]

@@ -110,3 +110,18 @@ def test_mix(spark):
     report = {r["source"]: r for r in share_report(mixed, targets.filter("source IS NOT NULL")).collect()}
     assert report["absent"]["n_tokens"] == 0 and abs(report["small"]["actual_share"] - 2 / 9) < 0.01 and report["small"]["repeats_used"] <= 4
     assert mix(df.limit(0), targets).count() == 0 and mix(df, targets.limit(0)).count() == 0
+
+
+def test_batches_inside_buckets():
+    import random
+
+    rng = random.Random(2)
+    lengths = [rng.choice([100, 400, 900, 1500]) for _ in range(400)]
+    bounds = [100, 400, 900, 1500]
+    for top_up in (True, False):
+        places = pack_items(lengths, bounds, 2048, top_up)
+        used, kinds = {}, {}
+        for n, c in zip(lengths, places):
+            used[c] = used.get(c, 0) + n
+            kinds.setdefault(c, set()).add(n)
+        assert max(used.values()) <= 2048 and (top_up or all(len(k) == 1 for k in kinds.values()))
