@@ -258,7 +258,7 @@ def identify(documents: DataFrame, names: DataFrame, sample_docs: int = SAMPLE_D
                     for t in batch["text"]],
             })
 
-    rows = spread(with_label_language(documents, names), "doc_id")
+    rows = with_label_language(spread(documents.select("doc_id", "text", "lang"), "doc_id"), names)
     return rows.select("doc_id", "label_lang", "text").mapInPandas(
         judge,
         "doc_id long, label_lang string, passages array<struct<start_char:int,end_char:int,lang:string,confidence:double,n_sentences:int>>")
