@@ -1,3 +1,5 @@
+import os
+import tracemalloc
 from datetime import datetime
 
 import numpy as np
@@ -116,3 +118,27 @@ def test_one_version_of_an_id_holds(spark):
     got = {(r["id"], r["other"]) for r in similar_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
     t_with = {o for i, o in got if i == "t"}
     assert ("a", "b") in got and ("a", "c") not in got and t_with in ({"a", "b"}, {"c"})
+
+
+def test_model_is_made_away_from_the_driver(spark, monkeypatch):
+    driver = os.getpid()
+
+    def away(*args, **kwargs):
+        assert os.getpid() != driver
+        return fit(*args, **kwargs)
+
+    monkeypatch.setattr(vectors, "fit", away)
+    x = clusters(20, 4, 6, 0.2)
+    rows = frame(spark, [f"v{i}" for i in range(len(x))], x)
+    assert similar_pairs(rows.unionByName(rows)).count() == len(x) * 3
+
+
+def test_encoding_takes_bounded_memory():
+    rng = np.random.default_rng(1)
+    model = Quantizer([rng.standard_normal((k, 384), dtype=np.float32) for k in (4096, 256)])
+    x = rng.standard_normal((8000, 384), dtype=np.float32)
+    tracemalloc.start()
+    codes, norms, cells = model.encode(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(codes) == len(norms) == len(cells) == len(x) and peak < 150e6
