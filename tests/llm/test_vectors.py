@@ -142,3 +142,22 @@ def test_encoding_takes_bounded_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(codes) == len(norms) == len(cells) == len(x) and peak < 150e6
+
+
+def test_copies_match_brute_force_and_pairs_are_sent_once(spark):
+    x = np.repeat(clusters(6, 4, 7, 0.2), [1, 2, 1, 3, 7, 1, 1, 1, 2, 2, 2, 2, 1, 9, 1, 1, 6, 5, 4, 1, 1, 1, 1, 8], 0)
+    ids = [f"{i * 37 % 97:02d}" for i in range(len(x))]
+    pairs = similar_pairs(frame(spark, ids, x))
+    rows = [(r["id"], r["other"]) for r in pairs.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == brute(ids, x, 5, 0.75)
+    # vectors go to their cells, pairs to their id
+    assert pairs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("ShuffleQueryStage") == 2
+    edges = [(r["a"], r["b"]) for r in vectors.similar_edges(frame(spark, ids, x)).collect()]
+    assert len(edges) == len(set(edges)) and set(edges) == {tuple(sorted(p)) for p in rows}
+
+
+def test_a_pair_met_twice_counts_once():
+    names = np.array([b"a", b"b", b"c", b"a"], dtype=object)
+    left, right = np.array([0, 3, 0, 1]), np.array([1, 1, 2, 2])
+    got = vectors._best(names, left, right, np.array([0.8, 0.800001, 0.8, 0.9]), 1).to_pylist()
+    assert [(r["id"], r["other"], r["similarity"]) for r in got] == [(b"a", b"b", 0.800001), (b"b", b"c", 0.9)]
